@@ -77,7 +77,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"""
             SELECT row_id, CAST(regexp_matches(text, '{brk}{{1000}}{brk}{{1000}}{brk}') AS INTEGER) AS forced
             FROM indexed_docs
-            WHERE length(text) > 0 AND length(text) + coalesce(list_sum(list_transform(breadcrumbs, x -> coalesce(length(x), 0))), 0) > 2000""",
+            WHERE length(text) > 0 AND length(text) + coalesce(list_sum(list_transform(breadcrumbs, lambda x: coalesce(length(x), 0))), 0) > 2000""",
         "p6_scores": _JOINT + """
             SELECT joint.row_id, joint.term, joint.n, term_rows, round(greatest(0, ln(joint.n * s / (term_n * pow(row_terms, 0.75)))), 4) AS score
             FROM joint JOIN marginal USING (term) JOIN context USING (row_id), smooth""",
