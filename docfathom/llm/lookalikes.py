@@ -40,7 +40,7 @@ WIDTHLESS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 
 
 def _widthless(ch: str) -> bool:
-    return ch in WIDTHLESS or "︀" <= ch <= "️" or "\U000e0100" <= ch <= "\U000e01ef" or unicodedata.category(ch) in ("Cf", "Cc") and ch not in "\t\n\r\u0085"
+    return ch in WIDTHLESS or "\ufe00" <= ch <= "\ufe0f" or "\U000e0100" <= ch <= "\U000e01ef" or unicodedata.category(ch) in ("Cf", "Cc") and ch not in "\t\n\r\u0085"
 
 
 class Classes:

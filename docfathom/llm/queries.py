@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docfathom.session import table
 
-from . import lookalikes, splitting, terms
+from . import lookalikes, residue, splitting, terms
 
 TEXT_COMMON, URL_COMMON = 0.05, 0.02
 
@@ -22,6 +22,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "indexed_docs"), "row_id", "text", "title")
 
 
+def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "indexed_docs"), "row_id", "text", "title")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_residue(spark, sf_dir).select("row_id", "field_name")
+
+
 def p3_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.frequencies(table(spark, sf_dir, "indexed_docs"), {"text": TEXT_COMMON}, {"url": URL_COMMON})
 
@@ -49,7 +57,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_forms, p3_found, p3_frequencies, p4_found, p4_pieces, p6_found, p6_scores)
+    named = (p1_found, p1_forms, p2_found, p2_residue, p3_found, p3_frequencies, p4_found, p4_pieces, p6_found, p6_scores)
     return {f.__name__: f for f in named}
 
 

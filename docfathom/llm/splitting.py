@@ -49,7 +49,7 @@ def _cut_at(text: str, lo: int, hi: int, cuts: list[tuple[str, list[int]]], most
                 k = bisect_left(places, middle, a, b)
                 return min(places[max(a, k - 1) : min(b, k + 1)], key=lambda p: (abs(p - middle), p)), kind
     at = middle
-    while at > lo + 1 and (unicodedata.combining(text[at]) or text[at] in "‍️" or text[at - 1] == "‍"):
+    while at > lo + 1 and (unicodedata.combining(text[at]) or text[at] in "\u200d\ufe0f" or text[at - 1] == "\u200d"):
         at -= 1
     return (at if at > lo + 1 else middle), "forced"
 
