@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docfathom.session import table
 
-from . import lookalikes, residue, splitting, terms
+from . import lookalikes, markup, residue, splitting, terms
 
 TEXT_COMMON, URL_COMMON = 0.05, 0.02
 
@@ -46,6 +46,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece_no = 0").select("row_id", "forced")
 
 
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.without_markup(table(spark, sf_dir, "indexed_docs"), "row_id", "text", "answer")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_clean(spark, sf_dir).where(F.size("markups") > 0).select("row_id", "field_name")
+
+
 def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = terms.distinctive_terms(table(spark, sf_dir, "indexed_docs"), "row_id", "title", "text")
     return scored.select("row_id", "term", "n", "term_rows", F.round("score", 4).alias("score"))
@@ -57,7 +65,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_forms, p2_found, p2_residue, p3_found, p3_frequencies, p4_found, p4_pieces, p6_found, p6_scores)
+    named = (p1_found, p1_forms, p2_found, p2_residue, p3_found, p3_frequencies, p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_scores)
     return {f.__name__: f for f in named}
 
 
