@@ -34,7 +34,6 @@ LATEX_HEADINGS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsu
 LATEX_TEXT = "textbf|textit|texttt|textsc|textsf|textrm|textsl|textup|textmd|emph|underline|uline|mbox|fbox|text|enquote|footnote|caption|url|href|hbox|centerline|uppercase|lowercase|textsuperscript|textsubscript"
 LATEX_SILENT = "label|ref|eqref|pageref|autoref|cref|Cref|cite|citep|citet|nocite|includegraphics|input|include|usepackage|documentclass|bibliography|bibliographystyle|vspace|hspace|pagestyle|thispagestyle|index|newcommand|renewcommand"
 LATEX_BARE = "noindent|centering|newline|newpage|clearpage|pagebreak|linebreak|maketitle|tableofcontents|hfill|vfill|hline|toprule|midrule|bottomrule|small|large|Large|footnotesize|bigskip|medskip|smallskip|par|indent|item|ldots|dots|LaTeX|TeX|quad|qquad"
-LATEX_MATH = "frac|sqrt|sum|int|prod|lim|cdot|times|pm|mp|leq|geq|le|ge|neq|approx|infty|alpha|beta|gamma|delta|epsilon|varepsilon|theta|lambda|mu|pi|rho|sigma|tau|phi|varphi|omega|Delta|Omega|Sigma|Phi|Pi|partial|nabla|mathrm|mathbf|mathit|mathcal|operatorname|left|right|overline|hat|vec|bar|ln|log|sin|cos|tan|exp|to|in|forall|exists"
 
 _tags = "|".join(sorted(TAGS, key=len, reverse=True))
 TAG = re.compile(rf"</?(?:{_tags})(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.I)

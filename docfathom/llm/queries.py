@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docfathom.session import table
 
-from . import lookalikes, markup, residue, splitting, terms
+from . import leakage, lookalikes, markup, residue, splitting, terms
 
 TEXT_COMMON, URL_COMMON = 0.05, 0.02
 
@@ -64,8 +64,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("term_rows between 2 and 5").select("row_id", "term")
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id", F.round("share", 4).alias("share"), F.round("changed", 4).alias("changed"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_forms, p2_found, p2_residue, p3_found, p3_frequencies, p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_scores)
+    named = (p1_found, p1_forms, p2_found, p2_residue, p3_found, p3_frequencies, p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_scores, p7_found, p7_leaks)
     return {f.__name__: f for f in named}
 
 
