@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfathom.session import table
+from docfathom.session import cut_lineage, table
 
-from . import leakage, lookalikes, markup, residue, splitting, terms
+from . import leakage, lookalikes, markup, mixture, residue, splitting, subjects, terms
 
 TEXT_COMMON, URL_COMMON = 0.05, 0.02
 
@@ -73,8 +73,39 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def _sizes_and_budgets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = cut_lineage(mixture.token_sizes(table(spark, sf_dir, "documents")))
+    return sizes, mixture.source_budgets(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes_and_budgets(spark, sf_dir)[1].where("not reachable").select("source")
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(*_sizes_and_budgets(spark, sf_dir))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, budgets = _sizes_and_budgets(spark, sf_dir)
+    return mixture.reached_shares(budgets, mixture.mixture(sizes, budgets))
+
+
+def p9_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subjects.subjects_of(*(table(spark, sf_dir, x) for x in ("documents", "doc_labels", "subjects")))
+    return found.select("doc_id", "subject", F.round("share", 4).alias("share"))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_docs"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_forms, p2_found, p2_residue, p3_found, p3_frequencies, p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_scores, p7_found, p7_leaks)
+    named = (p1_found, p1_forms, p2_found, p2_residue, p3_found, p3_frequencies, p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_scores, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_subjects, p9_composition)
     return {f.__name__: f for f in named}
 
 
