@@ -161,23 +161,25 @@ def forum_toc(spark, d):
     return forum.listing(rows, "firmware").unionByName(forum.listing(rows.where(F.contains(F.lower("title"), F.lit("servo"))), None)).select("topic_id", "slug").distinct()
 
 
-_FORUM = """forum AS (SELECT item_id AS query_id, url, row_number() OVER (PARTITION BY item_id ORDER BY url) - 1 AS rank FROM (SELECT DISTINCT item_id, 'https://forum.example/t/' || topic_id AS url FROM eval_items JOIN forum_posts ON contains(lower(forum_posts.title), lower(split_part(query, ' ', 1)) || ' ' || lower(split_part(query, ' ', 2))) WHERE split_part(query, ' ', 2) <> '') QUALIFY rank < 20)"""
+_FORUM = """topics AS (SELECT DISTINCT topic_id, string_split(lower(title), ' ') AS w FROM forum_posts WHERE title IS NOT NULL),
+word_pairs AS (SELECT DISTINCT topic_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM topics),
+asked AS (SELECT item_id AS query_id, split_part(lower(query), ' ', 1) || ' ' || split_part(lower(query), ' ', 2) AS pair FROM eval_items),
+forum AS (SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY url) - 1 AS rank FROM (SELECT DISTINCT query_id, 'https://forum.example/t/' || topic_id AS url FROM asked JOIN word_pairs USING (pair)) QUALIFY rank < 20)"""
 
 
 @query(PAGES + f""", {_FORUM}, nf AS (SELECT query_id, count(*) AS n_forum FROM forum GROUP BY ALL),
-d AS (SELECT query_id, page AS url, place - 1 AS rank, 'docs' AS source FROM placed), both AS (SELECT *, coalesce(least(n_forum, greatest(1, 8 // 4)), 0) AS quota FROM (FROM d UNION ALL BY NAME SELECT query_id, url, rank, 'forum' AS source FROM forum) LEFT JOIN nf USING (query_id)),
-parted AS (SELECT *, CASE WHEN source = 'docs' AND rank < 8 - quota THEN 0 WHEN source = 'forum' AND rank < quota THEN 1 WHEN source = 'docs' THEN 2 END AS part FROM both),
+d AS (SELECT query_id, page AS url, place - 1 AS rank, 'docs' AS source FROM placed), united AS (SELECT *, coalesce(least(n_forum, greatest(1, 8 // 4)), 0) AS quota FROM (FROM d UNION ALL BY NAME SELECT query_id, url, rank, 'forum' AS source FROM forum) LEFT JOIN nf USING (query_id)),
+parted AS (SELECT *, CASE WHEN source = 'docs' AND rank < 8 - quota THEN 0 WHEN source = 'forum' AND rank < quota THEN 1 WHEN source = 'docs' THEN 2 END AS part FROM united),
 once AS (SELECT * FROM parted WHERE part IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY part, rank) = 1)
 SELECT query_id, url, source, row_number() OVER (PARTITION BY query_id ORDER BY part, rank, url) AS place FROM once QUALIFY place <= 8""")
 def docs_forum_merge(spark, d):
     docs_hits = page_hits(Searched(spark, d)).select("query_id", F.col("page").alias("url"), (F.col("place") - 1).alias("rank"))
-    words = F.split(F.lower("query"), " ", -1)
-    items = table(spark, d, "eval_items").where(F.size(words) > 1).select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("start")).where("not endswith(start, ' ')")
-    topics = table(spark, d, "forum_posts").select("topic_id", F.lower("title").alias("title")).distinct()
-    # An equi join on each pair of neighbouring words instead of a product of queries and topics.
-    pairs = topics.withColumn("w", F.split("title", " ", -1)).select("topic_id", "title", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 2)), lambda i: F.array(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))))).alias("pair"))
-    hits = items.join(topics.where("1 = 0"), F.lit(False), "left").select("query_id", "start").join(pairs, F.endswith("pair", "start") | F.startswith("pair", "start"), "inner") if False else items.join(topics, F.contains("title", "start"))
-    forum = hits.select("query_id", F.concat(F.lit("https://forum.example/t/"), "topic_id").alias("url")).distinct()
+    words = lambda c: F.split(F.lower(c), " ", -1)
+    items = table(spark, d, "eval_items").withColumn("w", words("query")).select(F.col("item_id").alias("query_id"), F.concat(F.get("w", F.lit(0)), F.lit(" "), F.coalesce(F.get("w", F.lit(1)), F.lit(""))).alias("pair"))
+    topics = table(spark, d, "forum_posts").select("topic_id", words("title").alias("w")).where("size(w) > 1").distinct()
+    # Titles and queries meet on pairs of neighbouring words, an equi join.
+    pairs = topics.select("topic_id", F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pair")).distinct()
+    forum = items.join(pairs, "pair").select("query_id", F.concat(F.lit("https://forum.example/t/"), F.col("topic_id").cast("string")).alias("url")).distinct()
     forum = forum.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("url")) - 1).where("rank < 20")
     return ranking.merged_with_quota(docs_hits, forum, 8)
 
