@@ -133,9 +133,15 @@ def look_alike_classes(used: Iterable[str]) -> Classes:
 def rewrite_rules(frequency: dict[str, int]) -> dict[str, str]:
     """Each look-alike string and what stands for it: the most frequent member of its class, the shorter, lower one in a tie."""
     classes = look_alike_classes(x for x in frequency if len(x) == 1)
+
+    def used(x: str) -> int:
+        if x in frequency or len(x) == 1 or any(map(unicodedata.combining, x)):
+            return frequency.get(x, 0)
+        return min(frequency.get(ch, 0) for ch in x)  # a string that was not counted: at most as often as its rarest sign
+
     rules = {}
     for members in classes.members().values():
-        best = "" if "" in members else max(members, key=lambda x: (frequency.get(x, 0), -len(x), [-ord(c) for c in x]))
+        best = "" if "" in members else max(members, key=lambda x: (used(x), -len(x), [-ord(c) for c in x]))
         rules |= {x: best for x in members if x and x != best}
     return rules
 
