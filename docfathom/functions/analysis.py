@@ -1,4 +1,4 @@
-"""Index-side text analysis as native column expressions: ASCII tokens with their parts, CJK segments with their bigrams."""
+"""Pieces of the index-side text analysis as native column expressions; whole texts are analysed by ``tokenizer``."""
 
 from __future__ import annotations
 
@@ -7,29 +7,15 @@ from pyspark.sql import functions as F
 
 from . import wordlists as W
 
-ASCII_TOKEN = "[0-9A-Za-z._-]+"
 CJK_RUN = "[\\x{4e00}-\\x{9fff}]+"
 #: A number and the word after it, both whole tokens, with only blanks between.
 NUMBER_WORD = "(?<![0-9A-Za-z._-])([0-9]+)[ \\t]+([A-Za-z]{2,})(?![0-9A-Za-z._-])"
 
 
-def _weighted(terms: Column, weight: float) -> Column:
-    return F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(weight).alias("weight")))
-
-
-def ascii_terms(text: Column) -> Column:
-    """(term, weight) of the ASCII tokens: the token, its form without ``. _ -`` and, at half weight, its parts."""
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(ASCII_TOKEN), F.lit(0)), F.lower)
-    split = F.filter(tokens, lambda x: x.rlike("[._-]"))
-    flat = F.filter(F.transform(split, lambda x: F.regexp_replace(x, "[-_.]", "")), lambda x: F.length(x) >= 6)
-    parts = F.flatten(F.transform(split, lambda x: F.split(x, "[-_.]+", -1)))
-    return F.concat(_weighted(tokens, 1.0), _weighted(flat, 1.0), _weighted(parts, 0.5))
-
-
 def number_terms(text: Column) -> Column:
     """``40 pin`` gives the term 40pin, beside its two tokens."""
     pairs = F.regexp_extract_all(text, F.lit(NUMBER_WORD), F.lit(0))
-    return _weighted(F.transform(pairs, lambda x: F.lower(F.regexp_replace(x, "[ \\t]+", ""))), 1.0)
+    return F.transform(pairs, lambda x: F.lower(F.regexp_replace(x, "[ \\t]+", "")))
 
 
 def cjk_segments(text: Column) -> Column:
@@ -39,26 +25,6 @@ def cjk_segments(text: Column) -> Column:
     return F.filter(pieces, lambda x: F.length(x) >= 2)
 
 
-def cjk_terms(text: Column) -> Column:
-    """Segments of 3 to 8 characters and all bigrams of each segment."""
-    segments = cjk_segments(text)
-    whole = F.filter(segments, lambda x: F.length(x).between(3, 8))
-    grams = F.flatten(F.transform(segments, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))))
-    return F.concat(_weighted(whole, 1.0), _weighted(grams, 1.0))
-
-
-def analysed(text: Column, scale: float = 1.0) -> Column:
-    """All (term, weight) of a text, in no order, weights times ``scale``; one-letter terms and stop words are left out.
-
-    Terms of a weight below 1 that are mere fragments of paths and names are left out as well. A null text has none.
-    """
-    text = F.coalesce(text, F.lit(""))
-    every = F.concat(ascii_terms(text), number_terms(text), cjk_terms(text))
-    every = F.transform(every, lambda x: F.struct(x["term"].alias("term"), (x["weight"] * scale).alias("weight")))
-    stop, fragment = (F.array(*map(F.lit, x)) for x in (W.EN_STOP, sorted(set(W.FRAGMENT_SKIP))))
-    return F.filter(every, lambda x: (F.length(x["term"]) >= 2) & ~F.array_contains(stop, x["term"]) & ((x["weight"] >= 1) | ~F.array_contains(fragment, x["term"])))
-
-
 def url_path(url: Column) -> Column:
     """The part of a url after its host; empty without one, the whole string without a scheme."""
     after = F.regexp_extract(url, "^[^:]*://[^/]*(/.*)?$", 1)

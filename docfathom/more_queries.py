@@ -153,12 +153,12 @@ def topic_markdown(spark, d):
     return forum.topics_to_markdown(table(spark, d, "forum_posts"))
 
 
-@query("SELECT DISTINCT topic_id, slug FROM forum_posts WHERE contains(lower(title), 'firmware') OR len(list_filter(coalesce(tags, []), lambda t: contains(lower(t), 'firmware'))) > 0 OR contains(lower(title), 'servo')")
+@query("SELECT DISTINCT topic_id, slug FROM forum_posts WHERE contains(lower(title), 'motion') OR len(list_filter(coalesce(tags, []), lambda t: contains(lower(t), 'motion'))) > 0 OR contains(lower(title), 'servo')")
 def forum_toc(spark, d):
     from docfathom.sources import forum
 
     rows = table(spark, d, "forum_posts")
-    return forum.listing(rows, "firmware").unionByName(forum.listing(rows.where(F.contains(F.lower("title"), F.lit("servo"))), None)).select("topic_id", "slug").distinct()
+    return forum.listing(rows, "motion").unionByName(forum.listing(rows.where(F.contains(F.lower("title"), F.lit("servo"))), None)).select("topic_id", "slug").distinct()
 
 
 _FORUM = """topics AS (SELECT DISTINCT topic_id, string_split(lower(title), ' ') AS w FROM forum_posts WHERE title IS NOT NULL),

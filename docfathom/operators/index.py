@@ -6,11 +6,15 @@ by term within ``manual_id`` partitions (see ``write_index``): queries then read
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfathom.functions import analysis
 from docfathom.functions import wordlists as W
+from docfathom.functions.tokenizer import weighted_terms
 
 
 def latest_documents(docs: DataFrame) -> DataFrame:
@@ -23,29 +27,34 @@ def latest_documents(docs: DataFrame) -> DataFrame:
     return docs.groupBy("manual_id", "doc_ord").agg(last).select("manual_id", "doc_ord", "last.*")
 
 
-def _counts(docs: DataFrame, terms: Column, field: str) -> DataFrame:
-    return docs.select("doc_id", "manual_id", F.explode(terms).alias("x")).select("doc_id", "manual_id", F.col("x.term").alias("term"), F.lit(field).alias("field"), F.col("x.weight").alias("weight"))
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        places, terms, counts = [], [], ([], [], [])
+        for k, (title, path, body, answer) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(2, 6)))):
+            title, path, body = weighted_terms(title), weighted_terms(path), weighted_terms(body)
+            for x, n in weighted_terms(answer, W.ANSWER_WEIGHT).items():
+                own = body.get(x, 0.0)
+                if own < W.ANSWER_WEIGHT:
+                    body[x] = min(W.ANSWER_WEIGHT, own + n)
+            for x in title.keys() | path.keys() | body.keys():
+                places.append(k)
+                terms.append(x)
+                for to, field in zip(counts, (title, path, body)):
+                    to.append(field.get(x, 0.0))
+        at = pa.array(places, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(terms, pa.string()), *(pa.array(c, pa.float64()) for c in counts)], names=["doc_id", "manual_id", "term", "tf_title", "tf_url", "tf_body"])
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, manual_id, term, tf_title, tf_url, tf_body): weighted counts of each term of a document by field.
 
-    Answers count for half in the body and never lift a term above 0.5. All terms of a document come from its own row,
-    so that one aggregation by document and term serves all fields.
+    Answers count for half in the body and never lift a term above 0.5. All terms of a document come from its own row:
+    no shuffle. Documents of null or empty fields have no terms in these.
     """
-    field = lambda name, terms: F.transform(terms, lambda x: F.struct(x["term"].alias("term"), F.lit(name).alias("field"), x["weight"].alias("weight")))
     body = analysis.body_text(F.col("snippet"), F.col("text"), F.col("breadcrumbs"))
-    every = F.concat(
-        field("t", analysis.analysed(F.col("title"))),
-        field("u", analysis.analysed(analysis.url_path(F.col("url")))),
-        field("b", analysis.analysed(body)),
-        field("a", analysis.analysed(F.substring(F.coalesce("answer", F.lit("")), 1, W.BODY_CAP), W.ANSWER_WEIGHT)),
-    )
-    rows = docs.select("doc_id", "manual_id", F.explode(every).alias("x")).select("doc_id", "manual_id", "x.*")
-    total = lambda name: F.sum(F.when(F.col("field") == name, F.col("weight")).otherwise(0.0))
-    sums = rows.groupBy("doc_id", "manual_id", "term").agg(total("t").alias("tf_title"), total("u").alias("tf_url"), total("b").alias("own"), total("a").alias("answers"))
-    tf_body = F.when(F.col("own") >= W.ANSWER_WEIGHT, F.col("own")).otherwise(F.least(F.lit(W.ANSWER_WEIGHT), F.col("own") + F.col("answers")))
-    return sums.select("doc_id", "manual_id", "term", "tf_title", "tf_url", tf_body.alias("tf_body"))
+    rows = docs.select("doc_id", "manual_id", "title", analysis.url_path(F.col("url")).alias("path"), body.alias("body"), F.substring(F.coalesce("answer", F.lit("")), 1, W.BODY_CAP).alias("answer"))
+    kinds = docs.schema
+    return rows.mapInArrow(_post, f"doc_id {kinds['doc_id'].dataType.simpleString()}, manual_id {kinds['manual_id'].dataType.simpleString()}, term string, tf_title double, tf_url double, tf_body double")
 
 
 def document_lengths(post: DataFrame) -> DataFrame:
@@ -65,6 +74,19 @@ def document_frequencies(post: DataFrame) -> DataFrame:
     return post.groupBy("manual_id", "term").agg(F.count("*").alias("df"), outside.alias("df_outside_answers"))
 
 
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [weighted_terms(x) for x in batch.column(1).to_pylist()]
+        at = pa.array([k for k, terms in enumerate(own) for _ in terms], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([x for terms in own for x in terms], pa.string()), pa.array([n for terms in own for n in terms.values()], pa.float64())], names=["id", "term", "weight"])
+
+
+def analysed(rows: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, term, weight) of one text column, a line for each distinct term of a row."""
+    kind = rows.schema[id_column].dataType.simpleString()
+    return rows.select(rows[id_column].alias("id"), rows[text].alias("text")).mapInArrow(_weighted, f"id {kind}, term string, weight double")
+
+
 def write_index(docs: DataFrame, path: str) -> None:
     """Postings, lengths, frequencies and sums written by manual; postings sorted by term, for pruning by row group."""
     post = postings(docs)

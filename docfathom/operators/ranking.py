@@ -41,9 +41,9 @@ def term_scores(query_terms: DataFrame, post: DataFrame, lengths: DataFrame, sum
     return rows.select("query_id", "manual_id", "doc_id", "term", raw.alias("idf"), (fields * damped(raw) * F.col("qtf")).alias("score"))
 
 
-def bm25(scores: DataFrame) -> DataFrame:
-    """(query_id, manual_id, doc_id, raw): sums rounded to 1e-9, as their order varies."""
-    return scores.groupBy("query_id", "manual_id", "doc_id").agg(F.round(F.sum("score"), 9).alias("raw"))
+def bm25(scores: DataFrame, digits: int = 9) -> DataFrame:
+    """(query_id, manual_id, doc_id, raw): sums rounded, as their order varies."""
+    return scores.groupBy("query_id", "manual_id", "doc_id").agg(F.round(F.sum("score"), digits).alias("raw"))
 
 
 def by_rank(score: str, *ties: str, query: str = "query_id") -> Window:
@@ -160,7 +160,7 @@ def page_key(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 
 
-def pages_of_chunks(chunks: DataFrame) -> DataFrame:
+def pages_of_chunks(chunks: DataFrame, digits: int = 9) -> DataFrame:
     """(query_id, page, score, doc_id, n_chunks) from (query_id, page, doc_id, score): the best chunk and a share of the others.
 
     The k-th best chunk adds 0.3 of its score by k - 1; the page is shown by its best chunk.
@@ -168,7 +168,7 @@ def pages_of_chunks(chunks: DataFrame) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("query_id", "page").orderBy(F.desc("score"), "doc_id"))
     rows = chunks.withColumn("k", k)
     part = F.when(F.col("k") == 1, F.col("score")).otherwise(W.PAGE_REST * F.col("score") / (F.col("k") - 1))
-    return rows.groupBy("query_id", "page").agg(F.round(F.sum(part), 9).alias("score"), F.max(F.when(F.col("k") == 1, F.col("doc_id"))).alias("doc_id"), F.count("*").alias("n_chunks"))
+    return rows.groupBy("query_id", "page").agg(F.round(F.sum(part), digits).alias("score"), F.max(F.when(F.col("k") == 1, F.col("doc_id"))).alias("doc_id"), F.count("*").alias("n_chunks"))
 
 
 def fuse_lists(lists: DataFrame, k: int = W.RRF_K) -> DataFrame:

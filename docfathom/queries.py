@@ -104,13 +104,12 @@ def latest_documents(spark, d):
 
 @query(f"WITH src AS (SELECT row_id, 't' AS f, 1.0 AS s, coalesce(text, '') AS x FROM indexed_docs), {terms_sql('src', 'row_id')} SELECT row_id, term, sum(w)::DOUBLE AS weight FROM analysed GROUP BY ALL")
 def analysed_terms(spark, d):
-    rows = table(spark, d, "indexed_docs").select("row_id", F.explode(analysis.analysed(F.col("text"))).alias("x"))
-    return rows.groupBy("row_id", "x.term").agg(F.sum("x.weight").alias("weight"))
+    return index.analysed(table(spark, d, "indexed_docs"), "row_id", "text").withColumnRenamed("id", "row_id")
 
 
 @query(f"WITH src AS (SELECT row_id, 't' AS f, 1.0 AS s, coalesce(text, '') AS x FROM indexed_docs), {terms_sql('src', 'row_id')} SELECT row_id, term FROM (SELECT row_id, lower(regexp_replace(raw, '[ \\t]+', '')) AS term FROM num)")
 def number_terms(spark, d):
-    return table(spark, d, "indexed_docs").select("row_id", F.explode(analysis.number_terms(F.col("text"))).alias("x")).select("row_id", "x.term")
+    return table(spark, d, "indexed_docs").select("row_id", F.explode(analysis.number_terms(F.col("text"))).alias("term"))
 
 
 @query(f"WITH src AS (SELECT row_id, 't' AS f, 1.0 AS s, coalesce(text, '') AS x FROM indexed_docs), {terms_sql('src', 'row_id')} SELECT row_id, piece FROM seg")
@@ -150,7 +149,7 @@ def damped_idf(spark, d):
 
 QUERY_TERMS = f"""qsrc AS (SELECT item_id AS query_id, 'q' AS f, 1.0 AS s, lower(coalesce(query, '')) AS x FROM eval_items),
 {terms_sql("qsrc", "query_id").replace("tok AS", "qtok AS").replace("num AS", "qnum AS").replace("run AS", "qrun AS").replace("seg AS", "qseg AS").replace("every AS", "qevery AS").replace("analysed AS", "qanalysed AS").replace("FROM tok", "FROM qtok").replace("FROM num", "FROM qnum").replace("FROM run", "FROM qrun").replace("FROM seg", "FROM qseg").replace("FROM every", "FROM qevery")},
-query_terms AS (SELECT DISTINCT query_id, term, 1.0::DOUBLE AS qtf FROM qanalysed WHERE w >= 1)"""
+query_terms AS (SELECT query_id, term, 1.0::DOUBLE AS qtf FROM qanalysed GROUP BY query_id, term HAVING sum(w) >= 1)"""
 _SAT = "CASE WHEN tf_{0} > 0 THEN tf_{0} * 2.2 / (tf_{0} + 1.2 * (0.25 + 0.75 * (CASE WHEN len_{0} = 0 THEN 1 ELSE len_{0} END) / (CASE WHEN all_{0} = 0 THEN 1 ELSE all_{0} / n END))) ELSE 0 END"
 SCORES = POSTINGS + f""", {QUERY_TERMS},
 stats AS (SELECT sum(n_docs)::DOUBLE AS n, sum(sum_title) AS all_title, sum(sum_url) AS all_url, sum(sum_body) AS all_body FROM sums),
@@ -158,14 +157,14 @@ wanted AS (SELECT query_id, term, qtf, df, ln(1 + (n - df + 0.5) / (df + 0.5)) A
 scored AS (SELECT query_id, post.manual_id, post.doc_id, term, idf,
     (3 * {_SAT.format("title")} + 1.6 * {_SAT.format("url")} + {_SAT.format("body")}) * (CASE WHEN idf < 3.2 THEN idf * (0.45 + 0.55 * idf / 3.2) ELSE idf END) * qtf AS score
   FROM post JOIN wanted USING (term) JOIN lengths USING (manual_id, doc_id), stats),
-raw AS (SELECT query_id, manual_id, doc_id, round(sum(score), 9) AS raw FROM scored GROUP BY ALL),
-pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 6) DESC, manual_id, doc_id) - 1 AS bm25_rank FROM raw QUALIFY bm25_rank < {W.POOL})
+raw AS (SELECT query_id, manual_id, doc_id, round(sum(score), 6) AS raw FROM scored GROUP BY ALL),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, manual_id, doc_id) - 1 AS bm25_rank FROM raw QUALIFY bm25_rank < {W.POOL})
 """
 
 
 def literal_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.explode(analysis.analysed(F.lower("query"))).alias("x"))
-    return rows.where("x.weight >= 1").select("query_id", "x.term").distinct().withColumn("qtf", F.lit(1.0))
+    rows = index.analysed(table(spark, d, "eval_items").withColumn("query", F.lower("query")), "item_id", "query")
+    return rows.where("weight >= 1").select(F.col("id").alias("query_id"), "term", F.lit(1.0).alias("qtf"))
 
 
 class Searched:
@@ -179,26 +178,26 @@ class Searched:
         self.frequencies = index.document_frequencies(self.post)
         self.terms = literal_terms(spark, d)
         self.scores = ranking.term_scores(self.terms, self.post, self.lengths, self.sums, self.frequencies)
-        self.raw = ranking.bm25(self.scores).withColumn("raw", F.round("raw", 6))
+        self.raw = ranking.bm25(self.scores, 6)
 
     def pool(self) -> DataFrame:
         return ranking.candidate_pool(self.raw)
 
 
-@query(SCORES + "SELECT query_id, manual_id, doc_id, round(raw, 6) AS raw FROM raw")
+@query(SCORES + "SELECT query_id, manual_id, doc_id, raw FROM raw")
 def bm25_literal(spark, d):
     return Searched(spark, d).raw
 
 
-@query(SCORES + "SELECT query_id, manual_id, doc_id, round(raw, 6) AS raw, bm25_rank FROM pool")
+@query(SCORES + "SELECT query_id, manual_id, doc_id, raw, bm25_rank FROM pool")
 def candidate_pool(spark, d):
     return Searched(spark, d).pool()
 
 
-@query(SCORES + ", best AS (SELECT DISTINCT manual_id FROM manuals WHERE searchable AND NOT no_board) SELECT query_id, count(*) AS n, round(sum(raw), 3) AS raw FROM pool WHERE manual_id IN (FROM best) GROUP BY ALL")
+@query(SCORES + ", best AS (SELECT DISTINCT manual_id FROM manuals WHERE searchable AND NOT no_board) SELECT query_id, count(*) AS n, max(raw) AS raw FROM pool WHERE manual_id IN (FROM best) GROUP BY ALL")
 def pool_by_manual_flags(spark, d):
     kept = table(spark, d, "manuals").where("searchable and not no_board").select("manual_id")
-    return Searched(spark, d).pool().join(kept, "manual_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("raw"), 3).alias("raw"))
+    return Searched(spark, d).pool().join(kept, "manual_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n"), F.max("raw").alias("raw"))
 
 
 @query(SCORES + """, mass AS (SELECT query_id, round(sum(idf * qtf), 6) AS idf_mass FROM wanted GROUP BY ALL) SELECT * FROM mass""")
@@ -244,7 +243,7 @@ def lexical_scores(spark, d):
 
 
 FUSED = LEXICAL + f""", ranked AS (SELECT query_id, doc_id, bm25_rank, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, bm25_rank) - 1 AS lexical_rank FROM pool JOIN lexical USING (query_id, doc_id)),
-fused AS (SELECT query_id, doc_id, bm25_rank, lexical_rank, round(1.0 / (10 + bm25_rank) + 0.22 / (10 + lexical_rank), 9) AS score FROM ranked)
+fused AS (SELECT query_id, doc_id, bm25_rank, lexical_rank, 1.0::DOUBLE / (10 + bm25_rank) + 0.22::DOUBLE / (10 + lexical_rank) AS score FROM ranked)
 """
 
 
@@ -253,12 +252,12 @@ def fused_hits(s: Searched) -> DataFrame:
     rows = pool.select("query_id", "doc_id", "bm25_rank").join(lexical, ["query_id", "doc_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "bm25_rank")) - 1
     rows = rows.withColumn("lexical_rank", rank)
-    return rows.select("query_id", "doc_id", "bm25_rank", "lexical_rank", F.round(ranking.fused(F.col("bm25_rank"), F.col("lexical_rank")), 9).alias("score"))
+    return rows.select("query_id", "doc_id", "bm25_rank", "lexical_rank", ranking.fused(F.col("bm25_rank"), F.col("lexical_rank")).alias("score"))
 
 
-@query(FUSED + "SELECT * FROM fused")
+@query(FUSED + "SELECT * EXCLUDE (score), round(score, 9) AS score FROM fused")
 def rank_fusion(spark, d):
-    return fused_hits(Searched(spark, d))
+    return fused_hits(Searched(spark, d)).withColumn("score", F.round("score", 9))
 
 
 PAGES = FUSED + """, chunk AS (SELECT query_id, split_part(url, '#', 1) AS page, doc_id, score FROM fused JOIN docs USING (doc_id)),
@@ -270,7 +269,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 def page_hits(s: Searched) -> DataFrame:
     chunks = fused_hits(s).join(s.docs.select("doc_id", urls.page_url(F.col("url")).alias("page")), "doc_id").select("query_id", "page", "doc_id", "score")
-    pages = ranking.pages_of_chunks(chunks).withColumn("score", F.round("score", 6))
+    pages = ranking.pages_of_chunks(chunks, 6)
     return pages.withColumn("place", F.row_number().over(ranking.by_rank("score", "page")))
 
 
