@@ -215,3 +215,69 @@ def group_hits(spark, d):
     hits = page_hits(Searched(spark, d)).where("place <= 8")
     grp = F.substring_index(F.regexp_replace("page", "^[a-zA-Z]+://[^/]*/", ""), "/", 1)
     return hits.groupBy("query_id", grp.alias("grp")).agg(F.min("place").alias("first_place"), F.count("*").alias("n"))
+
+
+# --- Catalogue, sections and pages ----------------------------------------------------------------------------------
+
+
+@query("""SELECT 'unknown manual' AS issue, manual_id AS key, count(*) AS n FROM indexed_docs WHERE manual_id NOT IN (SELECT manual_id FROM manuals) GROUP BY ALL
+UNION ALL SELECT 'repeated place', manual_id || ':' || doc_ord, count(*) FROM indexed_docs GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'probe of no page', url, count(*) FROM link_probes WHERE url NOT IN (SELECT split_part(url, '#', 1) FROM indexed_docs) GROUP BY ALL""")
+def catalog_integrity(spark, d):
+    from docfathom.operators import catalog
+
+    rows = table(spark, d, "indexed_docs")
+    pages = rows.select(urls.page_url(F.col("url")).alias("page")).distinct()
+    return catalog.integrity(
+        catalog.missing_references(rows, "manual_id", table(spark, d, "manuals"), "manual_id", "unknown manual"),
+        catalog.duplicates(rows.withColumn("place", F.concat("manual_id", F.lit(":"), F.col("doc_ord").cast("string"))), "place", "repeated place"),
+        catalog.missing_references(table(spark, d, "link_probes"), "url", pages, "page", "probe of no page"),
+    )
+
+
+@query(r"SELECT manual_id, regexp_full_match(manual_id, '[A-Za-z0-9_][A-Za-z0-9._-]*') AS good_name, base_path IS NOT NULL AND regexp_matches(ltrim(base_path, '/'), '^[^\s%\\\x00-\x1f\x7f]+$') AND NOT regexp_matches(rtrim(ltrim(base_path, '/'), '/'), '(^|/)(\.{0,2})(/|$)') AS good_path FROM manuals")
+def record_shapes(spark, d):
+    from docfathom.operators import catalog
+
+    path = F.regexp_replace("base_path", "^/+|/+$", "")
+    return table(spark, d, "manuals").select("manual_id", F.col("manual_id").rlike(catalog.NAME).alias("good_name"), catalog.safe_path(path).alias("good_path"))
+
+
+@query("SELECT row_id, 4 * ((contains(lower(title), 'boot'))::INT + (contains(lower(title), 'image'))::INT) + 2 * ((contains(x, 'boot'))::INT + (contains(x, 'image'))::INT) AS score FROM (SELECT row_id, title, lower(concat_ws(' ', title, snippet)) AS x FROM indexed_docs WHERE title IS NOT NULL) WHERE score > 0")
+def catalog_text_scores(spark, d):
+    from docfathom.operators import catalog
+
+    score = catalog.text_score(F.col("title"), F.col("snippet"), F.array(F.lit("boot"), F.lit("image")))
+    return table(spark, d, "indexed_docs").where("title is not null").select("row_id", score.alias("score")).where("score > 0")
+
+
+@query(r"""SELECT row_id, unnest(regexp_extract_all(text, '(?m)^(#{1,6}[ \t]+.+)$', 1)) AS heading FROM indexed_docs""")
+def heading_lines(spark, d):
+    from docfathom.operators import sections
+
+    return table(spark, d, "indexed_docs").where("text is not null").select("row_id", F.explode(sections.headings(F.col("text"))).alias("heading"))
+
+
+@query()
+def section_pieces(spark, d):
+    from docfathom.operators import sections
+
+    return sections.page_pieces(table(spark, d, "indexed_docs"), "row_id", "text").withColumnRenamed("page_id", "row_id")
+
+
+@query()
+def html_pages(spark, d):
+    from docfathom.sources import html_pages as H
+
+    posts = table(spark, d, "forum_posts").withColumn("post", F.concat_ws("/", F.col("topic_id").cast("string"), F.col("post_number").cast("string"))).withColumn("url", F.concat(F.lit("https://forum.example/t/"), F.col("post")))
+    return H.read_pages(posts.withColumn("page", F.concat(F.lit("<body>"), "cooked", F.lit("</body>"))), "post", "url", "page")
+
+
+@query()
+def planned_search(spark, d):
+    """All evaluation queries through the planner and every ranking stage."""
+    from docfathom.engine import Engine
+
+    asked = table(spark, d, "eval_items").orderBy("item_id").collect()  # the stated query set
+    engine = Engine(docs(spark, d), table(spark, d, "manuals"))
+    return engine.search([{"query_id": r.item_id, "query": r.query, "manual": r.manual, "board": r.board, "limit": r.max_hits} for r in asked])

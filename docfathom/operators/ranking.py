@@ -139,7 +139,8 @@ def lexical_scores(pool: DataFrame, tokens: DataFrame) -> DataFrame:
     extra = F.substring(F.lower(F.concat_ws(" ", F.nullif("snippet", F.lit("")), F.nullif("text", F.lit("")), F.nullif(crumbs, F.lit("")))), 1, W.SCAN_CAP)
     docs = pool.select("query_id", "doc_id", low(F.col("title")).alias("title"), extra.alias("extra"), F.substring(low(F.col("answer")), 1, W.SCAN_CAP).alias("answer"), "kind")
     rows = docs.join(tokens.withColumn("pattern", matcher_pattern(F.col("token"))), "query_id")
-    in_title, in_extra, in_answer = (F.regexp_like(x, F.col("pattern")) for x in ("title", "extra", "answer"))
+    # A pattern that differs by row is compiled for each; most rows already fail the plain test.
+    in_title, in_extra, in_answer = (F.contains(x, F.col("token")) & F.regexp_like(x, F.col("pattern")) for x in ("title", "extra", "answer"))
     weak = F.col("token").isin(W.WEAK_TITLE) | F.col("common")
     title_hit = ~weak & ((F.col("title") == F.col("token")) | in_title)
     points = F.when(weak, F.when(in_extra | in_answer, 1).otherwise(0)).otherwise(
