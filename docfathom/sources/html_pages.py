@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Elements without an end, without text, and those that end an open one of the same group.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -162,7 +163,7 @@ def html_to_markdown(html: str | None, url: str = "", fragment: bool = False) ->
     return clean(writer.first_h1 or writer.title or url), clean(whole if fragment else root)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def markdown_of(html: pd.Series) -> pd.Series:
     """Markdown of HTML fragments; null for null."""
     return html.map(lambda x: None if x is None else html_to_markdown(x, fragment=True)[1])
