@@ -281,3 +281,57 @@ def planned_search(spark, d):
     asked = table(spark, d, "eval_items").orderBy("item_id").collect()  # the stated query set
     engine = Engine(docs(spark, d), table(spark, d, "manuals"))
     return engine.search([{"query_id": r.item_id, "query": r.query, "manual": r.manual, "board": r.board, "limit": r.max_hits} for r in asked])
+
+
+# --- Results --------------------------------------------------------------------------------------------------------
+
+from docfathom.operators import results  # noqa: E402
+
+RULES = (
+    results.PageRule("battery|akku", "https://hub.tavrix.example/rule/battery", boards=("t5",)),
+    results.PageRule("build cache|构建缓存", "https://hub.tavrix.example/rule/cache"),
+    results.PageRule("cache", "https://hub.tavrix.example/rule/other"),
+)
+_RULE_SQL = "CASE WHEN regexp_matches(lower(query), 'battery|akku') AND coalesce(board = 't5', false) THEN 'https://hub.tavrix.example/rule/battery' WHEN regexp_matches(lower(query), 'build cache|构建缓存') THEN 'https://hub.tavrix.example/rule/cache' WHEN regexp_matches(lower(query), 'cache') THEN 'https://hub.tavrix.example/rule/other' END"
+
+
+@query(f"SELECT item_id, {_RULE_SQL} AS page FROM eval_items WHERE {_RULE_SQL} IS NOT NULL")
+def ruled_pages(spark, d):
+    page = results.ruled_page(F.col("query"), F.col("board"), F.col("manual"), RULES)
+    return table(spark, d, "eval_items").select("item_id", page.alias("page")).where("page is not null")
+
+
+_PINS = "pins AS (SELECT item_id AS query_id, (SELECT min(split_part(url, '#', 1)) FROM docs WHERE contains(url, '/software/')) AS page FROM eval_items WHERE contains(lower(query), 'cache'))"
+
+
+@query(PAGES + f""", {_PINS}, merged AS (SELECT query_id, page, 1000.0::DOUBLE AS score FROM pins WHERE page IS NOT NULL UNION ALL SELECT query_id, page, score FROM placed ANTI JOIN pins USING (query_id, page))
+SELECT query_id, page, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS place FROM merged""")
+def pinned_hits(spark, d):
+    s = Searched(spark, d)
+    pages = s.docs.select(urls.page_url(F.col("url")).alias("page")).distinct()
+    first = pages.where(F.contains("page", F.lit("/software/"))).agg(F.min("page").alias("page")).withColumn("one", F.lit(1))
+    pins = table(spark, d, "eval_items").where(F.contains(F.lower("query"), F.lit("cache"))).select(F.col("item_id").alias("query_id"), F.lit(1).alias("one")).join(F.broadcast(first), "one")
+    return results.pinned(page_hits(s), pins, pages)
+
+
+@query(PAGES + "SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY NOT contains(page, 't5'), place) AS place FROM placed")
+def board_preference(spark, d):
+    return results.board_first(page_hits(Searched(spark, d)), F.contains("page", F.lit("t5"))).select("query_id", "page", "place")
+
+
+@query(PAGES + """, h AS (SELECT query_id, page, place FROM placed WHERE place <= 3), m AS (SELECT query_id, split_part(url, '#', 1) AS page, min(bm25_rank) AS rank FROM pool JOIN docs USING (doc_id) WHERE bm25_rank < 30 GROUP BY ALL),
+u AS (SELECT query_id, page, 0 AS part, place AS ord FROM h UNION ALL SELECT query_id, page, 1, rank FROM m ANTI JOIN h USING (query_id, page))
+SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY part, ord, page) AS place FROM u QUALIFY place <= 8""")
+def filled_hits(spark, d):
+    s = Searched(spark, d)
+    hits = page_hits(s).where("place <= 3").select("query_id", "page", "place")
+    more = s.pool().where("bm25_rank < 30").join(s.docs.select("doc_id", urls.page_url(F.col("url")).alias("page")), "doc_id").groupBy("query_id", "page").agg(F.min("bm25_rank").alias("rank"))
+    return results.filled_up(hits, more, 8)
+
+
+@query()
+def compact_results(spark, d):
+    s = Searched(spark, d)
+    shown = T.hit_snippet(*map(F.col, ("snippet", "answer", "text", "breadcrumbs", "url")))
+    hits = page_hits(s).where("place <= 5").select("query_id", "place", "doc_id").join(s.docs.select("doc_id", "title", "url", shown.alias("snippet")), "doc_id")
+    return results.compact_results(hits)
