@@ -37,7 +37,7 @@ _SPACED = re.compile(r"\S+")
 
 
 def plain_text(text: str) -> str:
-    """Lower case, without markup and accents on look-alike letters; one form for letters that look the same."""
+    """Lower case, without tags, link targets and LaTeX emphasis, and with one form for letters that look the same."""
     if "<" in text:
         text = _MARKUP.sub(" ", text)
     if "&" in text:

@@ -35,7 +35,7 @@ def longest_stretch(text: str) -> int:
     return max((m.end() - m.start() for m in _STRETCH.finditer(text)), default=0)
 
 
-def _cut_at(text: str, lo: int, hi: int, cuts: list[tuple[str, list[int]]], most: int) -> tuple[int, str]:
+def _cut_at(text: str, lo: int, hi: int, cuts: list[tuple[str, list[int]]]) -> tuple[int, str]:
     """Where to halve text[lo:hi]: the strongest boundary in the middle half, the one nearest to the midpoint among equals.
 
     Where the middle half has none, any boundary of the stretch that leaves both sides non-empty is taken; the last
@@ -73,7 +73,7 @@ def split_text(text: str, room: int, overlap: int) -> list[tuple[int, int, int,
         if hi - lo <= most:
             own.append((lo, hi, kind))
             continue
-        at, cut = _cut_at(text, lo, hi, cuts, most)
+        at, cut = _cut_at(text, lo, hi, cuts)
         todo += [(at, hi, cut), (lo, at, kind)]
     words = cuts[-2][1]
     sentences = cuts[3][1]
