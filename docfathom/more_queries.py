@@ -335,3 +335,31 @@ def compact_results(spark, d):
     shown = T.hit_snippet(*map(F.col, ("snippet", "answer", "text", "breadcrumbs", "url")))
     hits = page_hits(s).where("place <= 5").select("query_id", "place", "doc_id").join(s.docs.select("doc_id", "title", "url", shown.alias("snippet")), "doc_id")
     return results.compact_results(hits)
+
+
+# --- Vocabulary -----------------------------------------------------------------------------------------------------
+
+from docfathom.operators import index, vocabulary  # noqa: E402
+from docfathom.queries import POSTINGS, posts  # noqa: E402
+
+_VOCABULARY = POSTINGS + ", vocabulary AS (SELECT term, count(*) AS df FROM post GROUP BY term), words AS (SELECT DISTINCT lower(unnest(regexp_extract_all(query, '[A-Za-z0-9]+'))) AS word FROM eval_items)"
+
+
+def _words_and_vocabulary(spark, d):
+    words = table(spark, d, "eval_items").select(F.explode(F.regexp_extract_all("query", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word")).select(F.lower("word").alias("word")).distinct()
+    return words, index.document_frequencies(posts(spark, d)).groupBy("term").agg(F.sum("df").alias("df"))
+
+
+@query(_VOCABULARY + " SELECT word, term, df FROM words JOIN vocabulary ON starts_with(term, word) AND regexp_matches(substring(term, length(word) + 1), '^v?[0-9]') WHERE regexp_matches(word, '^[a-z][a-z0-9]{3,7}$') QUALIFY row_number() OVER (PARTITION BY word ORDER BY df DESC, term) <= 16")
+def prefix_terms(spark, d):
+    return vocabulary.longer_terms(*_words_and_vocabulary(spark, d))
+
+
+@query(_VOCABULARY + " SELECT word, term, df FROM words JOIN vocabulary ON damerau_levenshtein(word, term) = 1 WHERE regexp_matches(word, '^[a-z0-9]{4,12}$') AND regexp_matches(term, '^[a-z0-9]{3,13}$')")
+def edited_terms(spark, d):
+    return vocabulary.edited_terms(*_words_and_vocabulary(spark, d))
+
+
+@query("SELECT n AS needle, count(*) FILTER (WHERE contains(lower(coalesce(title, '')), n)) AS in_title, count(*) FILTER (WHERE contains(lower(concat_ws(chr(10), title, text)), n)) AS anywhere FROM indexed_docs, (VALUES ('boot'), ('电池组'), ('nothing of it')) v(n) GROUP BY n")
+def substring_frequencies(spark, d):
+    return vocabulary.substring_counts(table(spark, d, "indexed_docs"), ["boot", "电池组", "nothing of it"])

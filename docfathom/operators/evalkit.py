@@ -40,3 +40,20 @@ def summary(scored: DataFrame) -> DataFrame:
 def nearest_rank(value: str, share: float) -> Column:
     """The percentile by nearest rank, ceil(share * n)."""
     return F.expr(f"percentile_disc({share}) within group (order by {value})")
+
+
+def facts_met(text: Column, groups: Column) -> Column:
+    """Whether a text has at least one string of every group, whatever the case; true without groups."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.forall(F.coalesce(groups, F.array().cast("array<array<string>>")), lambda g: F.exists(g, lambda x: F.contains(low, F.lower(x))))
+
+
+def ablation(engine, queries: list, cases: DataFrame, stages: list[str]) -> DataFrame:
+    """(stage, n, hit_at_1, hit_at_3, mrr) of the search as it is ('none') and with each stage left out; the index is shared."""
+    out = None
+    for stage in ["none", *stages]:
+        own = engine if stage == "none" else type(engine)(engine.docs, engine.manual_table, engine.boards, engine.synonyms, {*engine.without, stage}, engine.post)
+        hits = own.search(queries).select(F.col("query_id").alias("item_id"), "place", F.col("page").alias("url"), (F.col("quality") == "weak").alias("weak"))
+        row = summary(ranks(cases, hits)).select(F.lit(stage).alias("stage"), "n", "hit_at_1", "hit_at_3", "mrr")
+        out = row if out is None else out.unionByName(row)
+    return out
