@@ -105,3 +105,18 @@ def test_gate(spark):
     loaded = spark.createDataFrame([("m", f"u{k}#x") for k in range(3, 100)], "manual_id string, url string")
     got = {r.manual_id: (r.before, r.after, r.lost, r.fails) for r in curation.page_counts(prior, loaded).collect()}
     assert got == {"m": (100, 97, 3, True), "n": (1, 0, 1, True)}
+
+
+def test_vocabulary(spark):
+    from docfathom.operators import vocabulary as V
+
+    words = spark.createDataFrame([("yolo",), ("wifi",), ("abcd",), ("a",), (None,)], "word string")
+    terms = spark.createDataFrame([("yolov5", 2), ("yolo8x", 3), ("yolor", 9), ("wfii", 1), ("wiki", 1), ("wif", 1), ("xwifi", 1), ("wifi", 5), ("abdce", 1), ("badc", 1)], "term string, df long")
+    assert [(r.word, r.term) for r in V.longer_terms(words, terms).orderBy("df").collect()] == [("yolo", "yolov5"), ("yolo", "yolo8x")]
+    assert {(r.word, r.term) for r in V.edited_terms(words, terms).collect()} == {("wifi", x) for x in ("wfii", "wiki", "wif", "xwifi")} | {("yolo", "yolor")}
+
+
+def test_fact_groups(spark):
+    text, groups = F.lit("Use the Boot image"), F.array(F.array(F.lit("boot"), F.lit("x")), F.array(F.lit("IMAGE")))
+    assert spark.range(1).select(evalkit.facts_met(text, groups)).first()[0]
+    assert not spark.range(1).select(evalkit.facts_met(F.lit(None).cast("string"), groups)).first()[0]
