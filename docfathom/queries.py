@@ -232,7 +232,7 @@ lexical AS (SELECT query_id, doc_id, CAST(CASE WHEN n >= 4 AND m = 1 AND th = 0
 
 
 def _lexical(s: Searched) -> tuple[DataFrame, DataFrame]:
-    pool = s.pool().where("bm25_rank < 20")
+    pool = s.pool()
     cand = pool.select("query_id", "doc_id").join(s.docs, "doc_id")
     return pool, ranking.lexical_scores(cand, s.terms.select("query_id", F.col("term").alias("token"), F.lit(False).alias("common")))
 
