@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Mapping, Sequence
+from itertools import chain
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfathom.functions import text as T
@@ -19,6 +21,12 @@ from docfathom.session import cut_lineage
 DEFAULT_LIMIT, MOST_LIMIT, LONGEST_QUERY = 8, 20, 500
 
 
+def _part(r: Row) -> str:
+    """What a row adds to the text of its page."""
+    body = "\n\n".join(x for x in (r.text, r.answer) if x) or r.snippet or ""
+    return (f"## {r.title}\n\n{body}" if r.kind == "heading" and r.title else body).strip()
+
+
 class Engine:
     """Search over documents (doc_id, manual_id, title, url, snippet, text, answer, breadcrumbs, kind).
 
@@ -174,27 +182,38 @@ class Engine:
         unequal one is an error, as the page has changed.
         """
         page = url.split("#", 1)[0]
-        rows = self.docs.where(urls.page_url(F.col("url")) == page).select("doc_ord", "kind", "title", "text", "answer", "snippet").orderBy("doc_ord").limit(2000).collect()
-        if not rows:
+        rows = self.docs.where(urls.page_url(F.col("url")) == page).select("doc_ord", "doc_id", "kind", "title", "text", "answer", "snippet").orderBy("doc_ord", "doc_id")
+        # All rows are read, one partition at a time; of a window only its own characters are kept.
+        stream = rows.drop("doc_id").toLocalIterator()
+        first = next(stream, None)
+        if first is None:
             raise LookupError(f"no page {page}")
-        parts = [f"# {rows[0].title or page}"]
-        for r in rows:
-            body = "\n\n".join(x for x in (r.text, r.answer) if x) or r.snippet or ""
-            parts.append((f"## {r.title}\n\n{body}" if r.kind == "heading" and r.title else body).strip())
-        markdown = "\n\n".join(x for x in parts if x)
-        import hashlib
-
-        digest = hashlib.sha256(markdown.encode()).hexdigest()
-        if offset < 0 or offset > len(markdown):
-            raise ValueError(f"offset {offset} is not within the {len(markdown)} characters of the page")
+        windowed = bool(full or offset or expected_hash)
+        hashed, total, kept, tail, images, pins, tables = hashlib.sha256(), 0, [], "", [], False, False
+        for part in chain([f"# {first.title or page}"], map(_part, chain([first], stream))):
+            if not part:
+                continue
+            piece = "\n\n" + part if total else part
+            hashed.update(piece.encode())
+            own = piece[max(0, offset - total) : max(0, offset + most - total)] if windowed else piece
+            if own:
+                kept.append(own)
+            total += len(piece)
+            images += sections.IMAGE.findall(part)[: 6 - len(images)]
+            pins = pins or bool(sections.PIN_TOPIC.search(tail + piece))
+            tables = tables or bool(sections.TABLE.search("\n" + part))
+            tail = piece[-16:]
+        markdown, digest = "".join(kept), hashed.hexdigest()
+        if offset < 0 or offset > total:
+            raise ValueError(f"offset {offset} is not within the {total} characters of the page")
         if offset and not expected_hash:
             raise ValueError("a window beyond the first needs expected_hash")
         if expected_hash and expected_hash != digest:
             raise ValueError("the page has changed; begin again at offset 0")
-        out = {"url": page, "title": rows[0].title, "content_hash": digest, "total_chars": len(markdown), "images": sections.image_notes(markdown)}
-        if full or offset or expected_hash:
-            end = min(len(markdown), offset + most)
-            return out | {"text": markdown[offset:end], "next_offset": end if end < len(markdown) else None, "truncated": end < len(markdown)}
+        out = {"url": page, "title": first.title, "content_hash": digest, "total_chars": total, "images": images if pins and not tables else []}
+        if windowed:
+            end = min(total, offset + most)
+            return out | {"text": markdown, "next_offset": end if end < total else None, "truncated": end < total}
         if section:
             text, title, matched = sections.select_section(markdown, section=section, anchor=url.split("#", 1)[1] if "#" in url else None)
             return out | {"text": text[:most], "section": title, "matched": matched, "next_offset": None, "truncated": len(text) > most}
