@@ -244,10 +244,19 @@ def _filler(text: str) -> bool:
     return False
 
 
+def _sentences(text: str) -> Iterator[str]:
+    """The parts of ``SENTENCE.split``, one at a time: a long text is mostly given up at its first."""
+    at = 0
+    for m in SENTENCE.finditer(text):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 def _bare_sentences(text: str) -> Iterator[str]:
     plain = re.sub(r"<[^<>]*>", "\n", text) if "<" in text else text
     plain = html.unescape(plain) if "&" in plain else plain
-    for x in SENTENCE.split(plain):
+    for x in _sentences(plain):
         x = " ".join(x.split()).strip(" .!?。！？…·*_#>-=")
         if x:
             yield x.replace("’", "'")
@@ -255,8 +264,6 @@ def _bare_sentences(text: str) -> Iterator[str]:
 
 def whole_notice(text: str) -> str | None:
     """The kind of notice, error page or filler that a field consists of, or None if it holds anything else."""
-    if len(text) > 3000:  # notices and error pages are short; filler is told by its start as well as by its whole
-        return "filler" if _filler(re.sub(r"<[^<>]*>|`", " ", text)) else None
     kind, n = None, 0
     for n, x in enumerate(_bare_sentences(text), 1):
         if len(x) <= 300 and (m := NOTICE.fullmatch(x)):

@@ -43,3 +43,8 @@ def test_operator_over_odd_rows(spark):
     kept = R.without_residue(df, "text", "title")
     assert kept.columns == df.columns and kept.count() == 3 and kept.where("title is not null").count() == 1
     assert R.residue(df.limit(0), "row_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("text", ["Replace this paragraph with your own text. ", "<div class='wide'><p>404 Not Found</p></div>", "Blindtext für diese Seite. ", "Please enable JavaScript to view this page. "])
+def test_a_notice_of_any_length_is_one(text):
+    assert R.whole_notice(text * 10) and R.whole_notice(text * 200) == R.whole_notice(text * 10)
