@@ -67,13 +67,14 @@ SENTENCE = re.compile(r"(?<=[!?。！？…])\s*|(?<=\.)\s+|\n+")
 def unfilled_spots(text: str) -> list[str]:
     """Kinds of the template spots left unfilled in a text.
 
-    Code and formulas are put aside first. A spot in quotes, or in a sentence that explains template signs, is talked
-    about; where such sentences hold fewer spots than the rest of the text, the rest decides.
+    Code and formulas are put aside first. A spot is explained in quotes, in a sentence that explains template signs,
+    or right after a line of that kind that ends in a colon. A text is a tutorial as a whole, and its other spots no
+    case either, if more of its spots are explained than not, and they stand denser there than in the rest by length.
     """
     if not SPOT_SIGN.search(text) or not SPOT.search(text):
         return []
     plain = FORMULA.sub(" ", CODE.sub(" \x00 ", text))
-    found = []
+    found, explained, sentences = [], 0, {}
     wiki = None
     for m in SPOT.finditer(plain):
         kind, spot = m.lastgroup, m.group()
@@ -81,17 +82,29 @@ def unfilled_spots(text: str) -> list[str]:
             wiki = bool(WIKI.search(plain)) if wiki is None else wiki
             if wiki:
                 continue  # a wiki template without values
-        if m.start() and m.end() < len(plain) and plain[m.start() - 1] in QUOTES and plain[m.end()] in QUOTES:
-            continue
         lo = max((plain.rfind(x, 0, m.start()) for x in (". ", "。", "\n", "! ", "? ", "！", "？")), default=-1)
         ends = [k for x in (". ", "。", "\n", "! ", "? ", "！", "？") if (k := plain.find(x, m.end())) >= 0]
-        around = plain[lo + 1 : m.start()] + " " + plain[m.end() : min(ends, default=len(plain))]
-        if TUTORIAL.search(around):
-            continue
-        found.append(kind)
+        end = min(ends, default=len(plain))
+        around = plain[lo + 1 : m.start()] + " " + plain[m.end() : end]
+        quoted = m.start() and m.end() < len(plain) and plain[m.start() - 1] in QUOTES and plain[m.end()] in QUOTES
+        if quoted or TUTORIAL.search(around) or _led_in(plain, lo + 1):
+            explained += 1
+            sentences[lo + 1] = max(end, sentences.get(lo + 1, 0))
+        else:
+            found.append(kind)
+    if found and explained > len(found):
+        own = sum(end - start for start, end in sentences.items())
+        if explained * max(0, len(plain) - own) > len(found) * own:
+            return []
     return found
 
 
+def _led_in(text: str, start: int) -> bool:
+    """Whether the line at ``start`` follows one that explains template signs and ends in a colon."""
+    before = text[max(0, start - 300) : start].rstrip()
+    return before.endswith((":", "：")) and "\n" in text[max(0, start - 300) + len(before) : start] and bool(TUTORIAL.search(before.rsplit("\n", 1)[-1]))
+
+
 # --- Fields that are a notice, an error page or filler as a whole ---------------------------------------------------
 
 #: Reason phrases of HTTP statuses.

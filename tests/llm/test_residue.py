@@ -48,3 +48,14 @@ def test_operator_over_odd_rows(spark):
 @pytest.mark.parametrize("text", ["Replace this paragraph with your own text. ", "<div class='wide'><p>404 Not Found</p></div>", "Blindtext für diese Seite. ", "Please enable JavaScript to view this page. "])
 def test_a_notice_of_any_length_is_one(text):
     assert R.whole_notice(text * 10) and R.whole_notice(text * 200) == R.whole_notice(text * 10)
+
+
+def test_tutorials_are_told_by_context_and_density():
+    lead = "Templates use the following form:\n{{ name }} is put in here.\n"
+    assert R.residue_of(lead) == []
+    taught = "The placeholder {{ name }} is filled in. The placeholder {{ date }} too. The placeholder {{ place }} as well. "
+    rest = "We then write it to the disk and look at the log of the unit. " * 5
+    assert R.residue_of(taught + rest + "Dear {{ owner }}, hello.") == []
+    assert R.residue_of("A placeholder {{ name }} is filled in. Dear {{ owner }}, {{ date }} {{ place }}.") == ["spot:mustache"]
+    dense = "The placeholder {{ name }} " + "which stands for a word that is long " * 8 + "is filled in. The placeholder {{ date }} " + "which stands for a word that is long " * 8 + "too. {{ owner }}"
+    assert R.residue_of(dense) == ["spot:mustache"]
