@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Mapping, Sequence
+from copy import deepcopy
 from itertools import chain
 from typing import Any
 
@@ -65,14 +66,14 @@ class Engine:
 
     # --- Search -----------------------------------------------------------------------------------------------------
 
-    def _frequencies_of(self, terms: Iterable[str]) -> dict[str, int]:
-        """Document frequencies of the terms of a batch of queries, by one join; terms nobody has are left out."""
+    def _frequencies_of(self, terms: Iterable[str]) -> dict[str, tuple[int, int]]:
+        """Document frequencies, all and outside answers, of the terms of a batch of queries, by one join; terms nobody has are left out."""
         wanted = sorted(set(terms))
         if not wanted:
             return {}
         asked = self.spark.createDataFrame([(x,) for x in wanted], "term string")
-        found = self.frequencies.join(asked, "term").groupBy("term").agg(F.sum("df").alias("df"))
-        return {r.term: r.df for r in found.collect()}
+        found = self.frequencies.join(asked, "term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("df_outside_answers").alias("outside"))
+        return {r.term: (r.df, r.outside) for r in found.collect()}
 
     def _longer_terms(self, terms: Iterable[str], most: int = 16) -> dict[str, list[str]]:
         """Terms of the corpus that begin with a given one followed by a number, by an equi join on four letters."""
@@ -91,13 +92,25 @@ class Engine:
     def plan(self, queries: Sequence[Mapping[str, Any]]) -> list[planner.Plan]:
         aliases = {a.lower(): r.manual_id for r in self.manual_rows for a in r.aliases or () if a}
         plans = [planner.analyse(str(q["query"])[:LONGEST_QUERY], self.synonyms, aliases, self.without) for q in queries]
-        df = self._frequencies_of(t for p in plans for t in [*p.terms, *(t for c in p.concepts for t in c.terms)])
-        df |= self._frequencies_of({t for p in plans for t in planner.candidates(p, df)} - df.keys())
-        longer = self._longer_terms(x for p in plans for x in planner.unseen(p, df))
-        df |= self._frequencies_of({x for xs in longer.values() for x in xs} - df.keys())
-        for p in plans:
-            planner.adapt(p, df, self.n_docs, longer, self.synonyms, self.without)
-        self._df = df
+        df: dict[str, int] = {}
+        outside: dict[str, int] = {}
+
+        def ask(terms: Iterable[str]) -> None:
+            found = self._frequencies_of(set(terms) - df.keys())
+            df.update({t: n for t, (n, _) in found.items()})
+            outside.update({t: n for t, (_, n) in found.items()})
+
+        ask(t for p in plans for t in [*p.terms, *(t for c in p.concepts for t in c.terms)])
+        # What occurs in answers only is unseen to abstention, and gets its variants there.
+        ask(t for p in plans for t in planner.candidates(p, outside))
+        longer = self._longer_terms(x for p in plans for x in planner.unseen(p, outside))
+        ask(x for xs in longer.values() for x in xs)
+        ask(m for p in plans for x in planner.unseen(p, outside) for m in planner.named_by_edit(x, aliases))
+        abstaining = deepcopy(plans)
+        for p, q in zip(plans, abstaining):
+            planner.adapt(p, df, self.n_docs, longer, self.synonyms, self.without, aliases)
+            planner.adapt(q, outside, self.n_docs, longer, self.synonyms, self.without, aliases)
+        self._weak = [planner.abstains(q, outside, self.n_docs) for q in abstaining]
         return plans
 
     def search(self, queries: Sequence[Mapping[str, Any]]) -> DataFrame:
@@ -118,8 +131,8 @@ class Engine:
             allowed += [(q["query_id"], r.manual_id) for r in self.manual_rows if (r.manual_id == named if named else r.searchable) and not (q.get("board") and r.no_board)]
         allowed_df = F.broadcast(frame(allowed or [(ids[0], None)], "query_id long, manual_id string"))
         terms = frame([(i, t, float(w)) for i, p in zip(ids, plans) for t, w in p.terms.items()] or [(ids[0], "", 0.0)], "query_id long, term string, qtf double")
-        concepts = frame([(i, k, c.min_hits, t) for i, p in zip(ids, plans) for k, c in enumerate(p.concepts) for t in set(c.terms)] or [(ids[0], 0, 1, "")], "query_id long, concept_id int, min_hits int, term string")
-        weak = {i: planner.abstains(p, self._df, self.n_docs) for i, p in zip(ids, plans)}
+        concepts = frame([(i, k, c.min_hits, t, planner.looks_like_content(t)) for i, p in zip(ids, plans) for k, c in enumerate(p.concepts) for t in set(c.terms)] or [(ids[0], 0, 1, "", False)], "query_id long, concept_id int, min_hits int, term string, content boolean")
+        weak = dict(zip(ids, self._weak))
         options = frame([(q["query_id"], q["query"], q.get("board"), int(min(MOST_LIMIT, max(1, q.get("limit") or DEFAULT_LIMIT))), p.needles, weak[q["query_id"]], len(p.concepts)) for q, p in zip(queries, plans)], "query_id long, query string, option string, most int, needles array<string>, weak boolean, n_concepts int")
         named = mentioned_boards(F.col("query"), self.boards)
         options = F.broadcast(options.withColumn("query_boards", F.when(F.size(named) > 0, named).when(F.col("option").isNotNull(), F.array(F.lower("option"))).otherwise(F.array().cast("array<string>"))).withColumn("option_only", F.size(named) == 0))
@@ -134,9 +147,16 @@ class Engine:
         scores = rows.select("query_id", "manual_id", "doc_id", (fields * ranking.damped(raw_idf) * F.col("qtf")).alias("score"))
         pool = cut_lineage(ranking.candidate_pool(ranking.bm25(scores)))
 
-        cover = ranking.coverage(concepts, self.post.join(pool.select("doc_id").distinct(), "doc_id", "left_semi"))
+        # The terms of concepts that the manuals of the query have, with their frequencies there.
+        known = concepts.join(self.frequencies, "term").join(allowed_df, ["query_id", "manual_id"]).groupBy("query_id", "concept_id", "min_hits", "term", "content").agg(F.sum("df").alias("df")).join(stats.select("query_id", "n"), "query_id")
+        known = cut_lineage(known)
+        distinctive = ranking.distinctive_concepts(known)
+        available = distinctive.groupBy("query_id").agg(F.count("*").alias("available"))
+        found = ranking.concept_hits(known.select("query_id", "concept_id", "min_hits", "term"), self.post.join(pool.select("doc_id").distinct(), "doc_id", "left_semi"))
+        found = found.join(distinctive.withColumn("distinctive", F.lit(1)), ["query_id", "concept_id"], "left")
+        cover = found.groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.count("distinctive").alias("sure_hits"))
         mass = wanted.groupBy("query_id").agg(F.sum(raw_idf * F.col("qtf")).alias("idf_mass"), (F.first("all_body") / F.first("n")).alias("mean_body"))
-        full = pool.join(self.docs.drop("manual_id"), "doc_id").join(self.lengths.select("doc_id", "len_body"), "doc_id").join(options, "query_id").join(mass, "query_id").join(cover, ["query_id", "doc_id"], "left").fillna(0.0, ["coverage"])
+        full = pool.join(self.docs.drop("manual_id"), "doc_id").join(self.lengths.select("doc_id", "len_body"), "doc_id").join(options, "query_id").join(mass, "query_id").join(cover, ["query_id", "doc_id"], "left").join(available, "query_id", "left").fillna(0, ["hits", "sure_hits", "available"]).withColumn("coverage", F.when(F.col("n_concepts") > 0, F.col("hits") / F.col("n_concepts")).otherwise(0.0))
         on = lambda name, x: F.lit(1.0) if name in self.without else x
         doc_boards = mentioned_boards(F.concat_ws(" ", "title", urls.page_url(F.col("url"))), self.boards)
         scale = (
@@ -148,13 +168,13 @@ class Engine:
         )
         scaled = F.col("raw") * scale
         blended = scaled if "coverage" in self.without else ranking.coverage_blend(scaled, F.col("coverage"))
-        sure = ranking.confidence(F.col("raw"), F.col("idf_mass"), F.col("coverage") * F.col("n_concepts"), F.col("n_concepts"))
+        sure = ranking.confidence(F.col("raw"), F.col("idf_mass"), F.col("sure_hits"), F.col("available"))
         full = full.withColumn("blended", F.round(blended, 9)).withColumn("confidence", sure).withColumn("rank", F.row_number().over(ranking.by_rank("blended", "manual_id", "doc_id")) - 1)
         if "fusion" in self.without:
             chunks = full.withColumn("score", F.col("blended"))
         else:
-            common = F.lit(False)
-            lexical = ranking.lexical_scores(full, matchers.withColumn("common", common))
+            common = ranking.common_title_terms(wanted).select("query_id", F.col("term").alias("token"), F.lit(True).alias("common"))
+            lexical = ranking.lexical_scores(full, matchers.join(common, ["query_id", "token"], "left").fillna(False, ["common"]))
             full = full.join(lexical, ["query_id", "doc_id"], "left").fillna(0, ["lexical"])
             full = full.withColumn("lexical_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "rank")) - 1)
             chunks = full.withColumn("score", ranking.fused(F.col("rank"), F.col("lexical_rank")))

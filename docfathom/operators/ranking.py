@@ -121,6 +121,19 @@ def coverage(concepts: DataFrame, post: DataFrame) -> DataFrame:
     return hits.join(n, "query_id").select("query_id", "doc_id", (F.col("hits") / F.col("n_concepts")).alias("coverage"))
 
 
+def distinctive_concepts(known: DataFrame) -> DataFrame:
+    """(query_id, concept_id) of the concepts with a content term of the corpus in less than 2 % of its documents.
+
+    known: (query_id, concept_id, term, content, df, n).
+    """
+    return known.where(F.col("content") & (F.col("df") / F.col("n") < W.RARE_DF)).select("query_id", "concept_id").distinct()
+
+
+def common_title_terms(wanted: DataFrame, least: int = 800) -> DataFrame:
+    """The terms of (query_id, term, df, n) that titles do not count for: in 8 % of the documents of a large corpus or more."""
+    return wanted.where((F.col("n") >= least) & (F.col("df") / F.col("n") >= W.COMMON_DF))
+
+
 def matcher_pattern(token: Column) -> Column:
     """A CJK token anywhere; a short ASCII one not beside letters, a longer one not after a letter or digit."""
     quoted = F.regexp_replace(token, "([\\\\.^$|?*+()\\[\\]{}-])", "\\\\$1")

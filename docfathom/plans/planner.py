@@ -144,7 +144,7 @@ def candidates(plan: Plan, df: Mapping[str, int]) -> set[str]:
     return out
 
 
-def adapt(plan: Plan, df: Mapping[str, int], n_docs: int, prefixes: Mapping[str, list[str]] | None = None, synonyms: Mapping[str, list[str]] = W.SYNONYMS, without: frozenset[str] = frozenset()) -> Plan:
+def adapt(plan: Plan, df: Mapping[str, int], n_docs: int, prefixes: Mapping[str, list[str]] | None = None, synonyms: Mapping[str, list[str]] = W.SYNONYMS, without: frozenset[str] = frozenset(), aliases: Mapping[str, str] | None = None) -> Plan:
     """The plan with variants for what the corpus lacks, in this order: segments, identifiers, typing errors, prefixes, carried synonyms."""
     for concept in plan.concepts:
         for key in list(concept.keys):
@@ -164,6 +164,10 @@ def adapt(plan: Plan, df: Mapping[str, int], n_docs: int, prefixes: Mapping[str,
             if "typo" not in without and (better := _corrected(key, df, synonyms)):
                 plan.add(*better)
                 concept.terms.append(better[0])
+            if "typo" not in without:
+                for manual in named_by_edit(key, aliases or {}):
+                    plan.add(manual, ALIAS_EDIT)
+                    concept.terms.append(manual)
             if "prefix" not in without and re.fullmatch(r"[a-z][a-z0-9]{3,7}", key):
                 longer = [x for x in (prefixes or {}).get(key, ()) if re.match(r"v?\d", x[len(key) :])][:12]
                 for x in longer:
@@ -183,6 +187,20 @@ def adapt(plan: Plan, df: Mapping[str, int], n_docs: int, prefixes: Mapping[str,
     return plan
 
 
+def named_by_edit(x: str, aliases: Mapping[str, str]) -> list[str]:
+    """Manuals with an alias of six letters or more that is one edit away from a word."""
+    if not re.fullmatch(r"[a-z0-9]{4,12}", x):
+        return []
+    near = edits(x)
+    return list(dict.fromkeys(m for alias, m in aliases.items() if len(alias) >= 6 and alias in near))
+
+
+def looks_like_content(term: str) -> bool:
+    if _CJK.fullmatch(term):
+        return len(term) >= 2 and term not in W.CJK_FILLER
+    return len(term) >= 3 and term not in W.GENERIC_WORDS and term not in W.EN_STOP and term not in W.FRAGMENT_SKIP
+
+
 def _resegmented(x: str, df: Mapping[str, int], n_docs: int) -> list[str]:
     """Words of the corpus along an unknown CJK run: the longest from the left, a start one or two later if two longer."""
     rare = lambda w: 0 < df.get(w, 0) and (n_docs < 200 or df[w] < W.COMMON_DF * n_docs)
@@ -229,7 +247,7 @@ def abstains(plan: Plan, df: Mapping[str, int], n_docs: int) -> bool:
     """Whether the corpus does not cover the query: what tells it apart is missing.
 
     A code-like word that no document has counts unless another concept of the corpus is there; otherwise some concept
-    is missing and none that is there is rarer than common words.
+    is missing and none that is there is rarer than common words. ``df`` is that outside answers.
     """
     if not plan.concepts:
         return True
