@@ -152,7 +152,7 @@ class Engine:
         known = cut_lineage(known)
         distinctive = ranking.distinctive_concepts(known)
         available = distinctive.groupBy("query_id").agg(F.count("*").alias("available"))
-        found = ranking.concept_hits(known.select("query_id", "concept_id", "min_hits", "term"), self.post.join(pool.select("doc_id").distinct(), "doc_id", "left_semi"))
+        found = ranking.concept_hits(ranking.useful_terms(known).select("query_id", "concept_id", "min_hits", "term"), self.post.join(pool.select("doc_id").distinct(), "doc_id", "left_semi"))
         found = found.join(distinctive.withColumn("distinctive", F.lit(1)), ["query_id", "concept_id"], "left")
         cover = found.groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.count("distinctive").alias("sure_hits"))
         mass = wanted.groupBy("query_id").agg(F.sum(raw_idf * F.col("qtf")).alias("idf_mass"), (F.first("all_body") / F.first("n")).alias("mean_body"))

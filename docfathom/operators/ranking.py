@@ -129,6 +129,13 @@ def distinctive_concepts(known: DataFrame) -> DataFrame:
     return known.where(F.col("content") & (F.col("df") / F.col("n") < W.RARE_DF)).select("query_id", "concept_id").distinct()
 
 
+def useful_terms(known: DataFrame) -> DataFrame:
+    """The rows of (query_id, concept_id, term, df, n) that show a concept: terms in less than 8 % of the documents, or all where it has none."""
+    rare = F.col("df") / F.col("n") < W.COMMON_DF
+    any_rare = F.max(rare).over(Window.partitionBy("query_id", "concept_id"))
+    return known.withColumn("any_rare", any_rare).where(rare | ~F.col("any_rare")).drop("any_rare")
+
+
 def common_title_terms(wanted: DataFrame, least: int = 800) -> DataFrame:
     """The terms of (query_id, term, df, n) that titles do not count for: in 8 % of the documents of a large corpus or more."""
     return wanted.where((F.col("n") >= least) & (F.col("df") / F.col("n") >= W.COMMON_DF))
