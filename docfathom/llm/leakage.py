@@ -111,6 +111,17 @@ class Item:
         self.prints = winnow(self.units, *(CHARS if by_chars else WORDS)) if self.counts else {}
 
 
+def _fewest(places: dict[int, list[int]], own: set[int], n: int) -> int:
+    """How many distinct hashes ``n`` places of an item hold at least, 1 as the floor: those with the most places first."""
+    k = 0
+    for size in sorted((len(places[h]) for h in own), reverse=True):
+        if n <= 0:
+            break
+        n -= size
+        k += 1
+    return max(1, k)
+
+
 class Index:
     """Fingerprints of a block of items, and how many of an item's a leaking text must at least share.
 
@@ -143,6 +154,8 @@ class Index:
             self.places.append(places)
             own = set(places)
             shared = {h for h in own if len(holders[(x.by_chars, h)]) > common}
+            # Candidates count hashes: ``least`` places hold at least as many hashes as the fewest that fill them.
+            least = _fewest(places, own, least)
             if least - len(shared) >= 1:
                 own -= shared
                 least -= len(shared)
