@@ -187,12 +187,12 @@ def docs_forum_merge(spark, d):
 # --- Evaluation and freshness ---------------------------------------------------------------------------------------
 
 
-@query(PAGES + """, lists AS (SELECT query_id, 'page' AS list_id, page, place AS rank FROM placed UNION ALL SELECT query_id, 'chunk', split_part(url, '#', 1), bm25_rank + 1 FROM pool JOIN docs USING (doc_id) WHERE bm25_rank < 20),
+@query(PAGES + """, lists AS (SELECT query_id, 'page' AS list_id, page, place AS rank FROM placed UNION ALL SELECT query_id, 'chunk', split_part(url, '#', 1), bm25_rank + 1 FROM pool JOIN docs USING (doc_id)),
 firsts AS (SELECT query_id, list_id, page, min(rank) AS rank FROM lists GROUP BY ALL) SELECT query_id, page, round(sum(1.0 / (10 + rank)), 6) AS score FROM firsts GROUP BY ALL""")
 def alternate_query_fusion(spark, d):
     s = Searched(spark, d)
     pages = page_hits(s).select("query_id", F.lit("page").alias("list_id"), "page", F.col("place").alias("rank"))
-    chunks = s.pool().where("bm25_rank < 20").join(s.docs.select("doc_id", urls.page_url(F.col("url")).alias("page")), "doc_id")
+    chunks = s.pool().join(s.docs.select("doc_id", urls.page_url(F.col("url")).alias("page")), "doc_id")
     lists = pages.unionByName(chunks.select("query_id", F.lit("chunk").alias("list_id"), "page", (F.col("bm25_rank") + 1).alias("rank")))
     return ranking.fuse_lists(lists).withColumn("score", F.round("score", 6))
 
@@ -319,13 +319,13 @@ def board_preference(spark, d):
     return results.board_first(page_hits(Searched(spark, d)), F.contains("page", F.lit("t5"))).select("query_id", "page", "place")
 
 
-@query(PAGES + """, h AS (SELECT query_id, page, place FROM placed WHERE place <= 3), m AS (SELECT query_id, split_part(url, '#', 1) AS page, min(bm25_rank) AS rank FROM pool JOIN docs USING (doc_id) WHERE bm25_rank < 30 GROUP BY ALL),
+@query(PAGES + """, h AS (SELECT query_id, page, place FROM placed WHERE place <= 3), m AS (SELECT query_id, split_part(url, '#', 1) AS page, min(bm25_rank) AS rank FROM pool JOIN docs USING (doc_id) GROUP BY ALL),
 u AS (SELECT query_id, page, 0 AS part, place AS ord FROM h UNION ALL SELECT query_id, page, 1, rank FROM m ANTI JOIN h USING (query_id, page))
 SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY part, ord, page) AS place FROM u QUALIFY place <= 8""")
 def filled_hits(spark, d):
     s = Searched(spark, d)
     hits = page_hits(s).where("place <= 3").select("query_id", "page", "place")
-    more = s.pool().where("bm25_rank < 30").join(s.docs.select("doc_id", urls.page_url(F.col("url")).alias("page")), "doc_id").groupBy("query_id", "page").agg(F.min("bm25_rank").alias("rank"))
+    more = s.pool().join(s.docs.select("doc_id", urls.page_url(F.col("url")).alias("page")), "doc_id").groupBy("query_id", "page").agg(F.min("bm25_rank").alias("rank"))
     return results.filled_up(hits, more, 8)
 
 

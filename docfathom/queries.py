@@ -221,7 +221,7 @@ _PAT = r"""CASE WHEN regexp_matches(token, '^[\x00-\x7f]+$') THEN CASE WHEN leng
 LEXICAL = SCORES + f""", {_LEX_TOKENS},
 cand AS (SELECT query_id, doc_id, lower(coalesce(title, '')) AS title, kind, left(lower(coalesce(answer, '')), {W.SCAN_CAP}) AS answer,
     left(lower(concat_ws(' ', nullif(snippet, ''), nullif(text, ''), nullif(array_to_string(list_filter(coalesce(breadcrumbs, []), lambda c: length(c) > 0), ' '), ''))), {W.SCAN_CAP}) AS extra
-  FROM pool JOIN docs USING (doc_id) WHERE bm25_rank < 20),
+  FROM pool JOIN docs USING (doc_id)),
 pat AS (SELECT query_id, token, token IN {_in(W.WEAK_TITLE)} AS weak, {_PAT} AS p FROM (SELECT *, regexp_replace(token, '([\\\\.^$|?*+()\\[\\]{{}}-])', '\\\\\\1', 'g') AS q FROM lex)),
 test AS (SELECT cand.query_id, doc_id, kind, token, weak, title, regexp_matches(title, p) AS it, regexp_matches(extra, p) AS ie, regexp_matches(answer, p) AS ia FROM cand JOIN pat USING (query_id)),
 pts AS (SELECT query_id, doc_id, CASE WHEN weak THEN CASE WHEN ie OR ia THEN 1 ELSE 0 END ELSE (CASE WHEN title = token THEN 14 WHEN it THEN 10 ELSE 0 END) + (CASE WHEN ie THEN 3 WHEN ia THEN 1 ELSE 0 END) + (CASE WHEN kind = 'page' AND it THEN 2 ELSE 0 END) END AS pt,
