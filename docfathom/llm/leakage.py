@@ -1,8 +1,8 @@
 """Evaluation passages that leak into a corpus (problem 7), found by winnowing.
 
-Both sides keep the minimum k-gram hash of every window, so that a shared span of window + k - 1 tokens shares a
-fingerprint. Items are a stated query set: the corpus is read once for each block of them, their fingerprints are handed
-to the tasks, and a hit is extended to the longest stretch that fits.
+Both sides keep the minimum k-gram hash of every window, so that a shared span of window + k - 1 units shares a
+fingerprint. Items are a stated query set: their sorted fingerprints, of a bounded size, are joined with those of the
+texts in the tasks that read these. Pairs that share enough fingerprints near one diagonal are aligned exactly.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,16 +21,23 @@ from xxhash import xxh3_64_intdigest
 
 from .lookalikes import LATIN_LIKE
 
-#: k-gram and window by unit: characters in Chinese, words elsewhere. The shortest item counts 15 words or 30 characters,
-#: and half of it with one changed unit in eight has an unbroken run of at least 4 words or 7 characters.
-WORDS, CHARS = (3, 2), (3, 2)
-#: How far hits of one stretch may lie apart by diagonal, for units inserted or left out.
-DRIFT = 3
+#: Window, and length of a gram by unit (words, or characters in Chinese) and by the least size of an item. Half of an item
+#: or more, one unit in eight changed, has an unbroken run of window + length - 1 units: of 4 words in the shortest items of 15
+#: words, of 5 from 32 words and of 6 from 48 words on; of 5, 6 and 7 characters from 30, 48 and 112 characters on.
+WINDOW = 2
+WORDS, CHARS = ((48, 5), (32, 4), (0, 3)), ((112, 6), (48, 5), (0, 4))
+#: Length of the grams that show how much of an item a text covers at most.
+COVER = 3
 LEAST_WORDS, LEAST_CHARS = 15, 30
 CHANGED_IN = 8
+#: Most characters of passages that are handed to the tasks at once, and most units of texts joined at once in a task.
+BLOCK_CHARS, BLOCK_UNITS = 8_000_000, 300_000
+#: Places of the same gram so close together count once.
+CELL = 4
 CJK = re.compile("[㐀-䶿一-鿿豈-﫿]")
 
-_LIKE = {ord(ch): x for x, like in LATIN_LIKE.items() for ch in like}
+_FORMAT = [cp for cp in (*range(0x20000), *range(0xE0000, 0xE1000)) if unicodedata.category(chr(cp)) == "Cf"]
+_LIKE = {ord(ch): x for x, like in LATIN_LIKE.items() for ch in like} | dict.fromkeys(_FORMAT)
 _MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>", re.S)
 _LINK = re.compile(r"(?<=\])\([^()\s]*\)")
 _TOKEN = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
@@ -45,8 +53,7 @@ def plain_text(text: str) -> str:
     if "](" in text:
         text = _LINK.sub(" ", text)
     if not text.isascii():
-        text = "".join(ch for ch in unicodedata.normalize("NFKC", text) if unicodedata.category(ch) != "Cf")
-        text = unicodedata.normalize("NFC", text.translate(_LIKE))
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text).translate(_LIKE))
     if "\\" in text:
         text = re.sub(r"\\(?:textbf|textit|texttt|emph|underline|text)\{|\\(?=[^\w\s])", "", text)
     return text.lower()
@@ -58,34 +65,86 @@ def words_of(plain: str) -> list[str]:
 
 def chars_of(plain: str) -> str:
     """Letters and digits of a text, one unit each."""
-    return "".join(x.replace("_", "") for x in _TOKEN.findall(plain))
-
-
-def _minima(hashes: list[int], window: int) -> dict[int, int]:
-    """Place and value of the minimum of every window, the rightmost one among equals."""
-    if len(hashes) <= window:
-        return {min(range(len(hashes)), key=lambda i: (hashes[i], -i)): min(hashes)} if hashes else {}
-    if window == 2:
-        places = [i if hashes[i] < hashes[i + 1] else i + 1 for i in range(len(hashes) - 1)]
-        return {i: hashes[i] for i in places}
-    out: dict[int, int] = {}
-    at = -1
-    for i in range(len(hashes) - window + 1):
-        if at < i:
-            at = min(range(i, i + window), key=lambda j: (hashes[j], -j))
-        elif hashes[i + window - 1] <= hashes[at]:
-            at = i + window - 1
-        out[at] = hashes[at]
-    return out
+    return "".join(_TOKEN.findall(plain)).replace("_", "")
 
 
-def winnow(units: list[str] | str, k: int, window: int) -> dict[int, int]:
-    """Fingerprints of a unit sequence: the place of each kept k-gram and its hash."""
+def weighed(plain: str, by_chars: bool) -> tuple[list[str] | str, np.ndarray]:
+    """The units of a text and how much of a counted unit each of them is: the parts of a spaced word share its weight."""
+    if by_chars:
+        units = chars_of(plain)
+        return units, np.ones(len(units))
+    units, weights = [], []
+    for word in _SPACED.findall(plain):
+        own = words_of(word)
+        units += own
+        weights += [1 / len(own)] * len(own) if own else []
+    return units, np.array(weights)
+
+
+# --- Fingerprints ---------------------------------------------------------------------------------------------------
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxh3_64_intdigest(word)
+        return h
+
+
+def _ids(units: list[str] | str, held: _Hashes) -> np.ndarray:
     if isinstance(units, str):
-        grams = [xxh3_64_intdigest(units[i : i + k]) for i in range(len(units) - k + 1)]
-    else:
-        grams = [xxh3_64_intdigest("\x1f".join(units[i : i + k])) for i in range(len(units) - k + 1)]
-    return _minima(grams, window)
+        return np.frombuffer(units.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.fromiter(map(held.__getitem__, units), np.uint64, len(units))
+
+
+def fingerprints(ids: np.ndarray, owner: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the kept k-grams of unit sequences laid end to end, ``owner`` telling them apart.
+
+    The minimum of every window is kept, the rightmost one among equals; all grams of a sequence without a full window.
+    """
+    n = len(ids) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h = (h ^ ids[j : n + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    whole = owner[:n] == owner[k - 1 :]
+    kept = np.zeros(n, bool)
+    covered = np.zeros(n, bool)
+    if n >= window:
+        full = owner[: n - window + 1] == owner[k + window - 2 :]
+        views = np.lib.stride_tricks.sliding_window_view(h, window)
+        at = np.arange(n - window + 1) + (window - 1 - np.argmin(views[:, ::-1], axis=1))
+        kept[at[full]] = True
+        for j in range(window):
+            covered[j : n - window + 1 + j] |= full
+    places = np.nonzero(kept | (whole & ~covered))[0]
+    return places, h[places]
+
+
+def _all_grams(ids: np.ndarray, k: int) -> np.ndarray:
+    h = np.zeros(max(0, len(ids) - k + 1), np.uint64)
+    for j in range(k):
+        h = (h ^ ids[j : len(h) + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def winnow(units: list[str] | str, k: int, window: int) -> dict[int, int]:
+    """Fingerprints of one unit sequence: the place of each kept k-gram and its hash."""
+    places, hashes = fingerprints(_ids(units, _Hashes()), np.zeros(len(units), np.int64), k, window)
+    return dict(zip(places.tolist(), hashes.tolist()))
+
+
+class Sequence:
+    """Unit hashes of a text and its grams of COVER units."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        grams = _all_grams(ids, COVER)
+        self.ids, self.order = ids, np.argsort(grams, kind="stable")
+        self.grams = grams[self.order]
 
 
 class Item:
@@ -94,21 +153,43 @@ class Item:
     def __init__(self, item_id, passage: str | None, by_chars: bool) -> None:
         self.item_id, self.by_chars = item_id, by_chars
         passage = passage or ""
-        if by_chars:
-            self.units: list[str] | str = chars_of(plain_text(passage))
-            self.weights = [1.0] * len(self.units)
-            self.size = float(len(self.units))
-            self.counts = len(re.sub(r"\s", "", passage)) >= LEAST_CHARS
-        else:
-            units, weights = [], []
-            for word in _SPACED.findall(plain_text(passage)):
-                own = words_of(word)
-                units += own
-                weights += [1 / len(own)] * len(own) if own else []
-            self.units, self.weights = units, weights
-            self.size = sum(weights)
-            self.counts = len(_SPACED.findall(passage)) >= LEAST_WORDS
-        self.prints = winnow(self.units, *(CHARS if by_chars else WORDS)) if self.counts else {}
+        self.units, self.weights = weighed(plain_text(passage), by_chars)
+        self.size = float(self.weights.sum())
+        self.counts = len(self.units) > 0 and (len(re.sub(r"\s", "", passage)) >= LEAST_CHARS if by_chars else len(_SPACED.findall(passage)) >= LEAST_WORDS)
+        self.k = next(k for least, k in (CHARS if by_chars else WORDS) if self.size >= least - 1e-9)
+        self.prints = winnow(self.units, self.k, WINDOW) if self.counts else {}
+        self.sequence, self.covers = Sequence(_ids(self.units, _Hashes())), self.cover()
+        self.left_out = int(np.searchsorted(np.cumsum(np.sort(self.weights)), self.size / CHANGED_IN + 1e-9, "right"))
+        #: How far a fitting stretch may drift off a diagonal: each changed unit may put in another, or a word of two parts.
+        self.drift = int(self.size / CHANGED_IN) * (1 if by_chars else 2) + CELL
+
+    def without_cjk(self) -> bool:
+        """Whether a text without any CJK character can repeat half of the passage: a stretch of it with one such character in eight at most."""
+        scores = np.concatenate([[0], np.cumsum([1 - CHANGED_IN if CJK.match(x) else 1 for x in self.units])])
+        half = -(-len(self.units) // 2)
+        return bool((np.minimum.accumulate(scores[: len(scores) - half]) <= scores[half:]).any())
+
+    def _lengths(self) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.arange(max(1, int(np.ceil(self.size / 2 - 1e-9))), max(2, int(self.size) + 2))
+        return lengths, lengths // CHANGED_IN
+
+    def least(self) -> int:
+        """How many fingerprints a text that repeats half of the passage or more must at least share, at their places.
+
+        A stretch of L units with c changes lies in at most c + 1 unbroken runs; a run of r units shares at least one in
+        WINDOW of its r - k + 1 grams.
+        """
+        lengths, changes = self._lengths()
+        places = int(((lengths - changes - (changes + 1) * (self.k + WINDOW - 2)) // WINDOW).min())
+        held: dict[int, list[int]] = {}
+        for at, h in self.prints.items():
+            held.setdefault(h, []).append(at)
+        return _fewest(held, set(held), max(1, places))
+
+    def cover(self) -> int:
+        """How many units of it lie at least in grams of COVER units that the text has: in each run all, or fewer than COVER are lost."""
+        lengths, changes = self._lengths()
+        return max(1, int((lengths - changes - (changes + 1) * (COVER - 1)).min()))
 
 
 def _fewest(places: dict[int, list[int]], own: set[int], n: int) -> int:
@@ -122,144 +203,222 @@ def _fewest(places: dict[int, list[int]], own: set[int], n: int) -> int:
     return max(1, k)
 
 
-class Index:
-    """Fingerprints of a block of items, and how many of an item's a leaking text must at least share.
+# --- Exact alignment ------------------------------------------------------------------------------------------------
+
+
+def longest_stretch(item: Item, text: Sequence, weights: Callable[[], np.ndarray], share: float = 0.0) -> tuple[float, float]:
+    """Share of the item in the longest of its stretches that the text repeats, and the share changed in it; zeros below ``share``.
+
+    A changed or missing unit counts by its weight, and so does a unit put in, by a quarter at least; a changed unit may
+    stand for up to one spaced word of the text. A stretch fits if eight times its changed weight is at most its weight.
+    No such stretch of at least a half drifts further from its shared grams than its changes allow, and it has at least
+    ``item.cover()`` of these: the alignment runs along the diagonals where they are, in a band that grows with the item.
+    """
+    places, grams = item.sequence.order, item.sequence.grams
+    lo = np.searchsorted(text.grams, grams)
+    hit = lo < len(text.grams)
+    hit[hit] = text.grams[lo[hit]] == grams[hit]
+    if np.count_nonzero(hit) < item.covers or not hit.any():
+        return 0.0, 0.0
+    places, lo = places[hit], lo[hit]
+    n = np.searchsorted(text.grams, grams[hit], "right") - lo
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    diagonals = np.sort(text.order[np.repeat(lo, n) + nth] - np.repeat(places, n))
+    if np.unique(diagonals, return_counts=True)[1].max() == len(grams):
+        return 1.0, 0.0  # the whole passage unit by unit
+    # Units left out by the weight that may change, those of the least weight first, and units put in.
+    drift = item.left_out + int(item.size / CHANGED_IN) * (1 if item.by_chars else 4)
+    ends = np.searchsorted(diagonals, diagonals + drift, "right")
+    best = (0.0, 0.0)
+    bands: list[list[int]] = []
+    for k in np.nonzero(ends - np.arange(len(diagonals)) >= item.covers)[0]:
+        low, high = int(diagonals[k]), int(diagonals[ends[k] - 1])
+        if bands and low <= bands[-1][1] + 2 * drift:
+            bands[-1][1] = max(bands[-1][1], high)
+        else:
+            bands.append([low, high])
+    for low, high in bands:
+        best = max(best, _along(item.sequence.ids, item.weights, text.ids, np.maximum(weights(), 0.25), low - drift, high + drift, max(share * item.size, best[0])))
+    return best[0] / item.size, best[1]
 
-    A stretch of L units with c changes lies in at most c + 1 unbroken runs; a run of r units shares at least one in
-    ``window`` of its r - k + 1 grams. Fingerprints common to many items (names of products) are not counted at first
-    for items that keep enough others; the bound falls by their number, so that no leak is lost.
+
+def _along(x: np.ndarray, w: np.ndarray, d: np.ndarray, v: np.ndarray, low: int, high: int, least: float) -> tuple[float, float]:
+    """The weight of the longest fitting stretch of at least ``least`` between two diagonals (place in the text less place in the item), and the share changed in it.
+
+    scores[a, c]: the best score of the units from a on, if the text stands at diagonal low + c; a unit that is the
+    same adds its weight, a changed one takes seven times as much, one put in eight times its own.
     """
+    n, width, pad = len(x), high - low + 1, len(x) + high - low + 2
+    left = pad + max(0, -low)
+    right = pad + max(0, n + high - len(d))
+    outside = np.uint64(0x5BD1E9955BD1E995)  # the hash of no unit
+    d = np.concatenate([np.full(left, outside), d, np.full(right, outside)])
+    v = np.concatenate([np.ones(left), v, np.ones(right)])
+    upto = np.concatenate([[0.0], np.cumsum(v)])
+    # Whether k units of the text from a place on make up at most one word.
+    spans = []
+    for k in range(2, n + 2):
+        ok = upto[k:] - upto[:-k] <= 1 + 1e-9
+        if not ok.any():
+            break
+        spans.append((k, ok))
+    sums = np.concatenate([[0.0], np.cumsum(w)])
+    starts = max(1, int(np.count_nonzero(sums[n] - sums[:n] >= least - 1e-9)))
+    scores = np.full((starts, width), -np.inf)
+    best = (0.0, 0.0)
+    for i in range(n):
+        if i < starts:
+            scores[i] = 0.0
+        own = scores[: min(i + 1, starts)]
+        at = left + i + low
+        lost = own - (CHANGED_IN - 1) * w[i]
+        new = np.where(d[at : at + width] == x[i], own + w[i], lost)
+        np.maximum(new[:, :-1], lost[:, 1:], out=new[:, :-1])
+        for k, ok in spans:
+            if k <= width:
+                np.maximum(new[:, k - 1 :], np.where(ok[at : at + width - k + 1], lost[:, : width - k + 1], -np.inf), out=new[:, k - 1 :])
+        put_in = CHANGED_IN * upto[at + 1 : at + 1 + width]
+        new = np.maximum.accumulate(new + put_in, axis=1) - put_in
+        scores[: len(new)] = new
+        top = new.max(axis=1)
+        good = np.nonzero(top >= -1e-6)[0]
+        if len(good) and (weight := sums[i + 1] - sums[good[0]]) > best[0] and weight >= least - 1e-9:
+            best = (float(weight), float(max(0.0, (1 - top[good[0]] / weight) / CHANGED_IN)))
+    return best
 
-    def __init__(self, items: list[Item], common: int = 8) -> None:
-        self.items = [x for x in items if x.counts and len(x.units)]
-        holders: dict[tuple[bool, int], set[int]] = {}
-        for n, x in enumerate(self.items):
-            for h in x.prints.values():
-                holders.setdefault((x.by_chars, h), set()).add(n)
-        self.words: dict[int, list[int]] = {}
-        self.chars: dict[int, list[int]] = {}
-        self.places: list[dict[int, list[int]]] = []
-        self.first: list[int] = []
-        self.needs: list[int] = []
+
+# --- The join -------------------------------------------------------------------------------------------------------
+
+
+class Side:
+    """Fingerprints of the items of one kind (unit, gram length, and whether texts without CJK can hold them), sorted by hash."""
+
+    def __init__(self, items: list[tuple[int, Item]], k: int, by_chars: bool, any_text: bool) -> None:
+        self.k, self.by_chars, self.any_text = k, by_chars, any_text
+        prints = np.array([h for _, x in items for h in x.prints.values()], np.uint64)
+        number = np.array([n for n, x in items for _ in x.prints], np.int64)
+        place = np.array([at for _, x in items for at in x.prints], np.int64)
+        order = np.argsort(prints, kind="stable")
+        self.prints, self.number, self.place = prints[order], number[order], place[order]
+
+
+class Index:
+    """A block of items for the tasks: their fingerprints by kind, and what each of them asks of a text."""
+
+    def __init__(self, items: list[Item]) -> None:
+        self.items = [x for x in items if x.counts]
+        kinds: dict[tuple[int, bool, bool], list[tuple[int, Item]]] = {}
         for n, x in enumerate(self.items):
-            k, window = CHARS if x.by_chars else WORDS
-            half = -(-len(x.units) // 2)
-            changes = half // CHANGED_IN + (0 if x.by_chars else 1)
-            runs = changes + 1
-            least = max(1, (half - changes - runs * (k - 1) - runs * (window - 1)) // window)
-            self.needs.append(least)
-            places: dict[int, list[int]] = {}
-            for at, h in x.prints.items():
-                places.setdefault(h, []).append(at)
-            self.places.append(places)
-            own = set(places)
-            shared = {h for h in own if len(holders[(x.by_chars, h)]) > common}
-            # Candidates count hashes: ``least`` places hold at least as many hashes as the fewest that fill them.
-            least = _fewest(places, own, least)
-            if least - len(shared) >= 1:
-                own -= shared
-                least -= len(shared)
-            self.first.append(least)
-            to = self.chars if x.by_chars else self.words
-            for h in own:
-                to.setdefault(h, []).append(n)
-
-    def candidates(self, prints: dict[int, int], by_chars: bool) -> Iterator[tuple[int, list[int]]]:
-        """Items with enough shared fingerprints along one diagonal (place in the text less place in the item), and these."""
-        table = self.chars if by_chars else self.words
-        seen: dict[int, int] = {}
-        for h in set(prints.values()):
-            for n in table.get(h, ()):
-                seen[n] = seen.get(n, 0) + 1
-        for n, shared in seen.items():
-            if shared < self.first[n]:
+            kinds.setdefault((x.k, x.by_chars, not x.by_chars or x.without_cjk()), []).append((n, x))
+        self.sides = [Side(own, *kind) for kind, own in sorted(kinds.items())]
+        self.least = np.array([x.least() for x in self.items], np.int64)
+        self.drift = np.array([x.drift for x in self.items], np.int64)
+
+    def pairs(self, texts: list[np.ndarray], cjk: np.ndarray, by_chars: bool) -> np.ndarray:
+        """Numbers text * items + item of texts, as unit hashes, that share enough of the item's fingerprints in a band of diagonals, in order."""
+        ids = np.concatenate(texts)
+        sizes = np.array([len(x) for x in texts], np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        found = []
+        for side in self.sides:
+            if side.by_chars != by_chars or not len(side.prints):
                 continue
-            places = self.places[n]
-            diagonals: dict[int, int] = {}
-            for at, h in prints.items():
-                for i in places.get(h, ()):
-                    diagonals[at - i] = diagonals.get(at - i, 0) + 1
-            good, done = [], set()
-            for d in sorted(diagonals, key=lambda x: -diagonals[x]):
-                if d not in done and sum(diagonals.get(x, 0) for x in range(d - DRIFT, d + DRIFT + 1)) >= self.needs[n]:
-                    good.append(d)
-                    done.update(range(d - DRIFT, d + DRIFT + 1))
-            if good:
-                yield n, good
-
-
-def longest_stretch(item: Item, units: list[str] | str, diagonals: list[int]) -> tuple[float, float]:
-    """Share of the item in the longest of its stretches that the text repeats along the diagonals, and the share changed in it."""
-    best = (0.0, 0.0)
-    total = len(item.units)
-    for d in diagonals:
-        near = sorted(range(d - DRIFT, d + DRIFT + 1), key=lambda x: abs(x - d))
-        same, on = [], d
-        for i, x in enumerate(item.units):
-            if 0 <= i + on < len(units) and units[i + on] == x:
-                same.append(True)
+            places, h = fingerprints(ids, owner, side.k, WINDOW)
+            if not side.any_text:
+                own = cjk[owner[places]]
+                places, h = places[own], h[own]
+            lo, hi = np.searchsorted(side.prints, h, "left"), np.searchsorted(side.prints, h, "right")
+            hit = hi > lo
+            if not hit.any():
                 continue
-            # A unit inserted or left out moves on to a diagonal on which this unit and the next are the same.
-            follow = item.units[i : i + 2]
-            moved = next((e for e in near if 0 <= i + e and units[i + e : i + e + 2] == follow and len(follow) == 2), None)
-            on = on if moved is None else moved
-            same.append(moved is not None)
-        # A stretch [a, b) fits if its changed weight times 8 is at most its weight.
-        sums, weights, changed = [0.0], [0.0], [0.0]
-        for w, ok in zip(item.weights, same):
-            sums.append(sums[-1] + (w if ok else w * (1 - CHANGED_IN)))
-            weights.append(weights[-1] + w)
-            changed.append(changed[-1] + (0 if ok else w))
-        # The longest one with a sum of at least 0: starts are strict minima of the sums, ends are tried from the right.
-        lows: list[int] = []
-        for a in range(total):
-            if not lows or sums[a] < sums[lows[-1]] - 1e-9:
-                lows.append(a)
-        for b in range(total, 0, -1):
-            while lows and sums[b] >= sums[lows[-1]] - 1e-9:
-                a = lows.pop()
-                if b > a and (share := (weights[b] - weights[a]) / item.size) > best[0]:
-                    best = (share, (changed[b] - changed[a]) / (weights[b] - weights[a]))
-    return best
+            places, lo, n = places[hit], lo[hit], (hi - lo)[hit]
+            text, at = owner[places], places - first[owner[places]]
+            # A gram again and again in the same few places counts once, so that no text is joined with itself over and over.
+            _, one = np.unique((text * len(side.prints) + lo << 24) | at // CELL, return_index=True)
+            text, at, lo, n = text[one], at[one], lo[one], n[one]
+            k = np.repeat(lo, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+            number = side.number[k]
+            pair = np.repeat(text, n) * len(self.items) + number
+            off = np.repeat(at, n) - side.place[k] + (1 << 30)
+            half = self.drift[number]
+            for shift in (0, 1):
+                key, shared = np.unique((pair << 32) | ((off + shift * half) // (2 * half)), return_counts=True)
+                found.append((key >> 32)[shared >= self.least[(key >> 32) % len(self.items)]])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: Index, share: float) -> Iterator[pa.RecordBatch]:
-    by_words, by_chars = bool(index.words), bool(index.chars)
+    units = sorted({side.by_chars for side in index.sides})
+    latin = any(side.by_chars and side.any_text for side in index.sides)
     for batch in batches:
-        out = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text:
-                continue
-            plain = plain_text(text)
-            for chars in (False, True):
-                if not (by_chars if chars else by_words) or chars and not CJK.search(plain):
+        rows: dict[str, list[int]] = {}  # equal texts are compared once
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            if text:
+                rows.setdefault(text, []).append(k)
+        at, numbers, shares, changes = [], [], [], []
+        held = _Hashes()
+        waiting: list[str] = []
+        plains: list[str] = []
+        size = 0
+
+        def join() -> None:
+            cjk = np.array([bool(CJK.search(x)) for x in plains])
+            for by_chars in units:
+                own = [i for i in range(len(plains)) if not by_chars or latin or cjk[i]]
+                if not own or not index.items:
                     continue
-                units = chars_of(plain) if chars else words_of(plain)
-                for n, diagonals in index.candidates(winnow(units, *(CHARS if chars else WORDS)), chars):
-                    found, changed = longest_stretch(index.items[n], units, diagonals)
-                    if found >= share - 1e-9:
-                        out.append((doc_id, index.items[n].item_id, found, changed))
-        columns = list(zip(*out)) if out else [()] * 4
-        ids = batch.schema.field(0).type
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], ids), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], names=["doc_id", "item_id", "share", "changed"])
-
-
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, block: int = 20_000) -> DataFrame:
+                ids = [_ids(chars_of(plains[i]) if by_chars else words_of(plains[i]), held) for i in own]
+                last, text, weights = -1, None, None
+                for pair in index.pairs(ids, cjk[own], by_chars).tolist():
+                    at_text, n = pair // len(index.items), pair % len(index.items)
+                    i, item = own[at_text], index.items[n]
+                    if at_text != last:  # pairs come in order of the texts
+                        last, text, weights = at_text, Sequence(ids[at_text]), cache(lambda i=i: weighed(plains[i], by_chars)[1])
+                    part, changed = longest_stretch(item, text, weights, share)
+                    if part > 0 and part >= share - 1e-9:
+                        for k in rows[waiting[i]]:
+                            at.append(k)
+                            numbers.append(item.item_id)
+                            shares.append(part)
+                            changes.append(changed)
+            waiting.clear()
+            plains.clear()
+
+        for text in rows:
+            waiting.append(text)
+            plains.append(plain_text(text))
+            size += len(text) // 4 + 1
+            if size > BLOCK_UNITS:
+                join()
+                size = 0
+        if waiting:
+            join()
+        columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int64()), pa.array(shares, pa.float64()), pa.array(changes, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "share", "changed"])
+
+
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, share, changed) of documents that repeat a passage or one stretch of at least ``share`` of it.
 
-    share is the repeated stretch's part of the passage by words, by characters for zh; at most one word (zh: character)
-    in eight of it is changed. Items that are null or too short never count. Items come in blocks of ``block``; the
-    corpus is read once for each and never shuffled. Repeated items and documents give a line each; null texts none.
+    share is the repeated stretch's part of the passage by words, by characters for zh, 0.5 or more; at most one word
+    (zh: character) in eight of it is changed. Items that are null or too short never count. Repeated items and
+    documents give a line each, null and empty texts none. Other columns are not read.
+
+    Nothing is shuffled: fingerprints of items come to the tasks in blocks of about ``block_chars`` characters of
+    passages, and the corpus is read once for each block.
     """
-    n_items = items.count()
-    blocks = max(1, -(-n_items // block))
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "passage", (F.lower(F.col("lang")).startswith("zh")).alias("zh"))
+    if share < 0.5:
+        raise ValueError("the fingerprints are dense enough for shares of a half and more only")
+    total = items.agg(F.sum(F.length("passage"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "passage", F.lower(F.col("lang")).startswith("zh").alias("zh")).where("passage is not null")
     texts = documents.select("doc_id", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
     out = None
     for b in range(blocks):
         own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        index = Index([Item(r.item_id, r.passage, r.zh if r.zh is not None else bool(CJK.search(r.passage or ""))) for r in own.collect()])
+        index = Index([Item(r.item_id, r.passage, r.zh if r.zh is not None else bool(CJK.search(r.passage))) for r in own.collect()])
         part = texts.mapInArrow(partial(_search, index=index, share=share), f"doc_id {kind}, item_id long, share double, changed double")
         out = part if out is None else out.unionByName(part)
     return out
