@@ -14,10 +14,10 @@ from functools import partial
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfathom.session import cut_lineage
+from docfathom.session import written
 
 #: Letters of other scripts drawn like a Latin letter.
 LATIN_LIKE = {
@@ -170,9 +170,7 @@ class Rewriter:
         return "".join(out)
 
     def __call__(self, text: str) -> str:
-        for _ in range(8):
-            if (text.isascii() or self.needed.isdisjoint(text)) and not any(x in text for x in self.ascii) or (new := self.once(text)) == text:
-                break
+        while not ((text.isascii() or self.needed.isdisjoint(text)) and not any(x in text for x in self.ascii)) and (new := self.once(text)) != text:
             text = new
         return unicodedata.normalize("NFC", text)
 
@@ -229,7 +227,7 @@ def _variants(batches: Iterator[pa.RecordBatch], rules: dict[str, str], fields:
     for batch in batches:
         names, forms, hashes, counts = [], [], [], []
         for k, field in enumerate(fields):
-            seen: dict[int, list] = {}
+            seen: dict[bytes, list] = {}
             for text, own in zip(batch.column(2 * k).to_pylist(), batch.column(2 * k + 1).to_pylist()):
                 if text is None:
                     continue
@@ -241,29 +239,57 @@ def _variants(batches: Iterator[pa.RecordBatch], rules: dict[str, str], fields:
             hashes += seen
             forms += [x[0] for x in seen.values()]
             counts += [x[1] for x in seen.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(forms, pa.binary()), pa.array(hashes, pa.int64()), pa.array(counts, pa.int64())], names=["field_name", "form", "own", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(forms, pa.binary()), pa.array(hashes, pa.binary()), pa.array(counts, pa.int64())], names=["field_name", "form", "own", "n"])
 
 
-def look_alike_pairs(df: DataFrame, id_column: str, *columns: str, rules: dict[str, str] | None = None, hot_rows: int = 100_000) -> DataFrame:
-    """(field_name, id_a, id_b), id_a < id_b: rows whose field looks the same and is not the same string.
+def _string(c: Column) -> Column:
+    """The identity of a stored string: 128 bits, as forms have."""
+    return F.unhex(F.md5(c))
+
+
+def look_alike_strings(df: DataFrame, *columns: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """(field_name, form, own, n, n_rows): strings that some other string of the field looks like, by digests of 128 bits.
 
-    Equal strings are counted together before the shuffle, so groups hold distinct strings only; rows come in once the
-    few strings with a look-alike are known, and a string of more than ``hot_rows`` rows is spread over several tasks.
-    Copies of one string are no pair. Nulls look like nothing. Rows that repeat an id pair with other ids only.
+    form is the class: what the strings of it are rewritten to; n rows hold the string, n_rows any string of the class.
+    Equal strings are counted together before the shuffle, so that a class is a group of distinct strings only.
     """
     rules = learn_rules(df, *columns) if rules is None else rules
-    texts = df.select(*(x for c in columns for x in (df[c].alias(f"{c}_text"), F.xxhash64(df[c]).alias(f"{c}_own"))))
-    strings = texts.mapInArrow(partial(_variants, rules=rules, fields=list(columns)), "field_name string, form binary, own long, n long")
+    texts = df.select(*(x for c in columns for x in (df[c].alias(f"{c}_text"), _string(df[c]).alias(f"{c}_own"))))
+    strings = texts.mapInArrow(partial(_variants, rules=rules, fields=list(columns)), "field_name string, form binary, own binary, n long")
     strings = strings.groupBy("field_name", "form", "own").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("field_name", "form")
-    alike = strings.withColumns({"lo": F.min("own").over(group), "hi": F.max("own").over(group)}).where("lo < hi").drop("lo", "hi")
-    alike = cut_lineage(alike.withColumn("parts", F.ceil(F.col("n") / hot_rows).cast("int")))
+    # Sums of a class, combined in each task, meet its strings again in a join: a class of very many strings is no group of one task.
+    groups = strings.groupBy("field_name", "form").agg(F.count("*").alias("strings"), F.sum("n").alias("n_rows")).where("strings > 1").drop("strings")
+    return written(strings.join(groups, ["field_name", "form"]).select("field_name", "form", "own", "n", "n_rows"))
+
+
+def _rows_of(df: DataFrame, id_column: str, columns: tuple[str, ...]) -> DataFrame:
+    """(field_name, own, id) of every field that is not null, by one scan."""
+    fields = F.array(*(F.struct(F.lit(c).alias("field_name"), _string(df[c]).alias("own"), df[id_column].alias("id")) for c in columns))
+    return df.select(F.inline(fields)).where("own is not null")
+
+
+def look_alike_rows(df: DataFrame, id_column: str, *columns: str, rules: dict[str, str] | None = None, strings: DataFrame | None = None) -> DataFrame:
+    """(field_name, id, class_id, string_id, n_rows, n_links): the rows of every class, one line each.
+
+    n_links is the number of rows whose field looks the same and is another string. Nulls are in no class; a string that
+    nothing else looks like is in none either. No pair of rows is made, so the result is never larger than the table.
+    """
+    strings = look_alike_strings(df, *columns, rules=rules) if strings is None else strings
+    rows = _rows_of(df, id_column, columns).join(strings, ["field_name", "own"])
+    return rows.select("field_name", F.col("id").alias(id_column), F.lower(F.hex("form")).alias("class_id"), F.lower(F.hex("own")).alias("string_id"), "n_rows", (F.col("n_rows") - F.col("n")).alias("n_links"))
+
+
+def look_alike_pairs(df: DataFrame, id_column: str, *columns: str, rules: dict[str, str] | None = None, hot_rows: int = 100_000) -> DataFrame:
+    """(field_name, id_a, id_b), id_a < id_b: rows whose field looks the same and is not the same string.
+
+    Derived from the classes: strings of a class are paired, then the rows of both, a string of more than ``hot_rows``
+    rows spread over several tasks. Copies of one string are no pair. Nulls look like nothing. Rows that repeat an id pair
+    with other ids only. The result is as large as the pairs asked for; ``look_alike_rows`` has the same in a line a row.
+    """
+    alike = look_alike_strings(df, *columns, rules=rules).withColumn("parts", F.ceil(F.col("n") / hot_rows).cast("int"))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-    by_field = [df.select(F.lit(c).alias("field_name"), F.xxhash64(df[c]).alias("own"), df[id_column].alias("id")).where(df[c].isNotNull()) for c in columns]
-    rows = by_field[0]
-    for x in by_field[1:]:
-        rows = rows.unionByName(x)
-    rows = rows.join(alike.select("field_name", "own", "parts"), ["field_name", "own"]).select("field_name", "own", "id", part)
+    rows = _rows_of(df, id_column, columns).join(alike.select("field_name", "own", "parts"), ["field_name", "own"]).select("field_name", "own", "id", part)
+    rows = written(rows)
     all_parts = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
     a, b = (alike.select("field_name", "form", F.col("own").alias(f"own_{s}"), F.col("parts").alias(f"parts_{s}")) for s in "ab")
     pairs = a.join(b, ["field_name", "form"]).where("own_a < own_b").drop("form")

@@ -22,6 +22,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "indexed_docs"), "row_id", "text", "title")
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.look_alike_rows(table(spark, sf_dir, "indexed_docs"), "row_id", "text", "title")
+
+
 def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "indexed_docs"), "row_id", "text", "title")
 
@@ -105,7 +109,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_forms, p2_found, p2_residue, p3_found, p3_frequencies, p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_scores, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_subjects, p9_composition)
+    named = (p1_found, p1_forms, p1_classes, p2_found, p2_residue, p3_found, p3_frequencies, p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_scores, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_subjects, p9_composition)
     return {f.__name__: f for f in named}
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from docfathom.llm import lookalikes as L
 
 DOCS = "row_id long, title string, text string, form string, field_name string"
@@ -65,3 +67,19 @@ def test_uniform_text_keeps_rows_and_nulls(spark):
     df = spark.createDataFrame([(1, None, "\uff41", "f", "n"), (1, "", "a" * 100_000, "f", "n"), (None, "t", None, "f", "n")], DOCS)
     got = sorted((str(r[0]), r[1], r[2]) for r in L.uniform_text(df, "row_id", "text", "title").collect())
     assert got == sorted([("1", "a", None), ("1", "a" * 100_000, ""), ("None", None, "t")])
+
+
+def test_classes_have_a_line_a_row_and_count_the_links(spark):
+    rows = [(1, "a\u0301b"), (2, "\u00e1b"), (3, "\u00e1b"), (4, "other"), (5, None), (6, "\uff41\u0301b"), (7, "other"), (8, "")]
+    df = spark.createDataFrame(rows, "row_id long, text string").withColumn("n", F.lit("clash")).withColumn("own", F.lit(1))
+    got = {r.row_id: (r.n_rows, r.n_links) for r in L.look_alike_rows(df, "row_id", "text").collect()}
+    assert got == {1: (4, 3), 2: (4, 2), 3: (4, 2), 6: (4, 3)}
+    pairs = {(r.row_id_a, r.row_id_b) for r in L.look_alike_pairs(df, "row_id", "text").collect()}
+    assert pairs == {(1, 2), (1, 3), (1, 6), (2, 6), (3, 6)}
+    assert sum(links for _, links in got.values()) == 2 * len(pairs)
+
+
+def test_rewriting_goes_on_until_nothing_changes():
+    rewriter = L.Rewriter(L.rewrite_rules(L.Counter("e\u0301\u200b\u00e9\u00e9")))
+    text = "e" + "\u200b" * 40 + "\u0301"
+    assert rewriter(text) == "\u00e9" == rewriter(rewriter(text))
