@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache, partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -313,6 +314,7 @@ class Index:
         self.sides = [Side(own, *kind) for kind, own in sorted(kinds.items())]
         self.least = np.array([x.least() for x in self.items], np.int64)
         self.drift = np.array([x.drift for x in self.items], np.int64)
+        self.covers = np.array([x.covers for x in self.items], np.int64)
 
     def pairs(self, texts: list[np.ndarray], cjk: np.ndarray, by_chars: bool) -> np.ndarray:
         """Numbers text * items + item of texts, as unit hashes, that share enough of the item's fingerprints in a band of diagonals, in order."""
@@ -348,6 +350,18 @@ class Index:
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+    def covered(self, text: Sequence, numbers: list[int]) -> list[int]:
+        """Those of the items whose grams the text has in the number that a fitting stretch has at least."""
+        grams = [self.items[n].sequence.grams for n in numbers]
+        ends = np.cumsum([len(g) for g in grams])
+        wanted = np.concatenate(grams)
+        if not len(wanted) or not len(text.grams):
+            return []
+        at = np.minimum(np.searchsorted(text.grams, wanted), len(text.grams) - 1)
+        shared = np.diff(np.concatenate([[0], np.cumsum(text.grams[at] == wanted)])[np.concatenate([[0], ends])])
+        return [n for n, ok in zip(numbers, shared >= self.covers[numbers]) if ok]
+
+
 def _search(batches: Iterator[pa.RecordBatch], index: Index, share: float) -> Iterator[pa.RecordBatch]:
     units = sorted({side.by_chars for side in index.sides})
     latin = any(side.by_chars and side.any_text for side in index.sides)
@@ -369,19 +383,18 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, share: float) -> It
                 if not own or not index.items:
                     continue
                 ids = [_ids(chars_of(plains[i]) if by_chars else words_of(plains[i]), held) for i in own]
-                last, text, weights = -1, None, None
-                for pair in index.pairs(ids, cjk[own], by_chars).tolist():
-                    at_text, n = pair // len(index.items), pair % len(index.items)
-                    i, item = own[at_text], index.items[n]
-                    if at_text != last:  # pairs come in order of the texts
-                        last, text, weights = at_text, Sequence(ids[at_text]), cache(lambda i=i: weighed(plains[i], by_chars)[1])
-                    part, changed = longest_stretch(item, text, weights, share)
-                    if part > 0 and part >= share - 1e-9:
-                        for k in rows[waiting[i]]:
-                            at.append(k)
-                            numbers.append(item.item_id)
-                            shares.append(part)
-                            changes.append(changed)
+                pairs = index.pairs(ids, cjk[own], by_chars)
+                for at_text, of_text in groupby(pairs.tolist(), lambda pair: pair // len(index.items)):
+                    i, text = own[at_text], Sequence(ids[at_text])
+                    weights = cache(lambda i=i: weighed(plains[i], by_chars)[1])
+                    for n in index.covered(text, [pair % len(index.items) for pair in of_text]):
+                        part, changed = longest_stretch(index.items[n], text, weights, share)
+                        if part > 0 and part >= share - 1e-9:
+                            for k in rows[waiting[i]]:
+                                at.append(k)
+                                numbers.append(index.items[n].item_id)
+                                shares.append(part)
+                                changes.append(changed)
             waiting.clear()
             plains.clear()
 
