@@ -7,7 +7,6 @@ filled by a bounded knapsack over these counts, and the documents of each length
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -39,18 +38,8 @@ def load_tokenizer(path: str, pattern: str = PATTERN):
 
 def _count_tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     tokens_of = load_tokenizer(path).encode_ordinary
-    # Merging takes more than linear time in an unbroken run; runs of over 5,000 characters are cut every 1,000.
-    unbroken, pieces = re.compile(r"\S{5001}"), re.compile(r"\s*\S{1,1000}|\s+$")
-
-    def count(text: str | None) -> int:
-        if not text:
-            return 0
-        if not unbroken.search(text):
-            return len(tokens_of(text))
-        return sum(len(tokens_of(x)) for x in pieces.findall(text))
-
     for batch in batches:
-        counts = [count(x) for x in batch.column(2).to_pylist()]
+        counts = [len(tokens_of(x)) if x else 0 for x in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "source", "tokens"])
 
 
@@ -65,15 +54,19 @@ def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int
     """How many documents of each length to take so that their tokens come as near to ``budget`` from below as can be.
 
     A bounded knapsack by binary splitting of the counts fills up to ``exact`` tokens. A larger budget is first taken
-    down to half of that in proportion to the counts, which keeps the source's mix of lengths.
+    down to half of that, or four times the longest length, in proportion to the counts, which keeps the source's mix of
+    lengths. ``lengths`` ascend: what rounding down a running sum of counts leaves is at most the longest of them, so
+    that the knapsack is left with at most five times the longest or exact / 2 and the longest, and nothing is cut off.
     """
     taken = np.zeros(len(lengths), dtype=np.int64)
     budget = int(budget)
     have = int((lengths * counts).sum())
     if have <= budget:
         return counts.astype(np.int64)
-    if budget > exact and have:
-        upto = np.floor(np.cumsum(counts) * ((budget - exact // 2) / have)).astype(np.int64)  # lengths seen once are taken in proportion too
+    longest = int(lengths.max(initial=0))
+    room = max(exact // 2, 4 * longest)  # a few of the longest have to fit for sums to come out
+    if budget > 2 * room and have:
+        upto = np.floor(np.cumsum(counts) * ((budget - room) / have)).astype(np.int64)  # lengths seen once are taken in proportion too
         taken = np.diff(upto, prepend=0)
         while (over := int((lengths * taken).sum()) - budget) > 0:  # rounding may take a long document too many
             k = np.nonzero(taken)[0]
@@ -81,7 +74,8 @@ def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int
             taken[k] -= 1
         budget -= int((lengths * taken).sum())
     left = counts - taken
-    budget = min(budget, 4 * exact + int(lengths.max(initial=0)))
+    if budget > 2 * room:
+        raise ArithmeticError(f"{budget} tokens are left to the knapsack; the lengths must ascend")
     reached = np.full(budget + 1, -1, dtype=np.int64)  # the item by which a sum was reached first
     reached[0] = -2
     items: list[tuple[int, int]] = []
@@ -173,11 +167,15 @@ def mixture(sizes: DataFrame, budgets: DataFrame, seed: int = 0, exact: int = EX
 
 
 def reached_shares(budgets: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(source, target_share, reached_share, target_tokens, mixed_tokens, mixed_docs, reachable), a line for every target source."""
+    """(source, target_share, reached_share, target_tokens, mixed_tokens, mixed_docs, reachable, short), a line for every target source.
+
+    short: the mixture holds every document of the source as often as it may, and still less than its budget.
+    """
     own = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.sum("repeats").alias("mixed_docs"))
     rows = budgets.join(own, "source", "left").fillna(0, ["mixed_tokens", "mixed_docs"])
     total = rows.agg(F.sum("mixed_tokens").alias("all_tokens"))
     # One row with the total joins all rows on a constant: no product of tables.
     both = rows.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
+    short = (F.col("mixed_tokens") >= F.col("available") * F.col("max_repeats")) & (F.col("mixed_tokens") < F.col("budget"))
     share = F.when(F.col("all_tokens") > 0, F.col("mixed_tokens") / F.col("all_tokens")).otherwise(0.0)
-    return both.select("source", "target_share", F.round(share, 6).alias("reached_share"), F.floor("budget").alias("target_tokens"), "mixed_tokens", "mixed_docs", "reachable")
+    return both.select("source", "target_share", F.round(share, 6).alias("reached_share"), F.floor("budget").alias("target_tokens"), "mixed_tokens", "mixed_docs", "reachable", short.alias("short"))

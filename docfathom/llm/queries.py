@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfathom.session import cut_lineage, table
+from docfathom.session import table, written
 
 from . import leakage, lookalikes, markup, mixture, residue, splitting, subjects, terms
 
@@ -78,12 +78,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes_and_budgets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = cut_lineage(mixture.token_sizes(table(spark, sf_dir, "documents")))
+    sizes = written(mixture.token_sizes(table(spark, sf_dir, "documents")))
     return sizes, mixture.source_budgets(sizes, table(spark, sf_dir, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sizes_and_budgets(spark, sf_dir)[1].where("not reachable").select("source")
+    """The sources that the mixture leaves short although it holds all of them as often as it may."""
+    return p8_shares(spark, sf_dir).where("short").select("source")
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,33 @@ def test_token_sizes(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     budgets = M.source_budgets(empty, targets)
     assert budgets.count() == 1 and M.mixture(empty, budgets).count() == 0
+
+
+def test_knapsack_is_never_left_more_than_it_holds():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        lengths = np.unique(rng.integers(1, 40_000, 300))
+        counts = rng.integers(1, 50, len(lengths))
+        budget = int(rng.integers(20_000, int((lengths * counts).sum())))
+        taken = M.fill_budget(lengths, counts, budget)
+        assert 0 <= budget - int(np.dot(taken, lengths)) <= 2 and (taken <= counts).all() and (taken >= 0).all()
+
+
+def test_unbroken_texts_are_counted_whole(spark):
+    texts = ["\u4e2d\u6587" * 6500, "ab" * 20_000, "word " * 3000]
+    own = M.load_tokenizer(M.TOKENIZER).encode_ordinary
+    df = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.tokens for r in M.token_sizes(df).collect()} == {k: len(own(t)) for k, t in enumerate(texts)}
+
+
+def test_shortfall_of_the_mixture_equals_sql_over_sizes(spark, sizes, targets):
+    import duckdb
+
+    budgets = M.source_budgets(sizes, targets)
+    got = {r.source for r in M.reached_shares(budgets, M.mixture(sizes, budgets)).where("short").collect()}
+    con = duckdb.connect()
+    con.register("sizes", sizes.toPandas())
+    con.register("targets", targets.toPandas())
+    want = con.execute("""WITH h AS (SELECT source, sum(tokens) AS n FROM sizes GROUP BY source), t AS (SELECT sum(n) AS total FROM h SEMI JOIN targets USING (source))
+        SELECT source FROM targets LEFT JOIN h USING (source), t WHERE coalesce(n, 0) * max_repeats < target_share * total / 2""").fetchall()
+    assert got == {r[0] for r in want} == {"b", "c", "none"}
