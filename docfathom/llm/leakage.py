@@ -39,6 +39,7 @@ CJK = re.compile("[㐀-䶿一-鿿豈-﫿]")
 
 _FORMAT = [cp for cp in (*range(0x20000), *range(0xE0000, 0xE1000)) if unicodedata.category(chr(cp)) == "Cf"]
 _LIKE = {ord(ch): x for x, like in LATIN_LIKE.items() for ch in like} | dict.fromkeys(_FORMAT)
+_UNLIKE = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_LIKE)))) + "]")
 _MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>", re.S)
 _LINK = re.compile(r"(?<=\])\([^()\s]*\)")
 _TOKEN = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
@@ -54,7 +55,9 @@ def plain_text(text: str) -> str:
     if "](" in text:
         text = _LINK.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text).translate(_LIKE))
+        text = unicodedata.normalize("NFKC", text)
+        if _UNLIKE.search(text):
+            text = unicodedata.normalize("NFC", text.translate(_LIKE))
     if "\\" in text:
         text = re.sub(r"\\(?:textbf|textit|texttt|emph|underline|text)\{|\\(?=[^\w\s])", "", text)
     return text.lower()
@@ -160,6 +163,7 @@ class Item:
         self.k = next(k for least, k in (CHARS if by_chars else WORDS) if self.size >= least - 1e-9)
         self.prints = winnow(self.units, self.k, WINDOW) if self.counts else {}
         self.sequence, self.covers = Sequence(_ids(self.units, _Hashes())), self.cover()
+        self.marks = np.append(self.sequence.grams, np.uint64(0)).astype(np.uint16)  # never empty
         self.left_out = int(np.searchsorted(np.cumsum(np.sort(self.weights)), self.size / CHANGED_IN + 1e-9, "right"))
         #: How far a fitting stretch may drift off a diagonal: each changed unit may put in another, or a word of two parts.
         self.drift = int(self.size / CHANGED_IN) * (1 if by_chars else 2) + CELL
@@ -264,27 +268,30 @@ def _along(x: np.ndarray, w: np.ndarray, d: np.ndarray, v: np.ndarray, low: int,
             break
         spans.append((k, ok))
     sums = np.concatenate([[0.0], np.cumsum(w)])
-    starts = max(1, int(np.count_nonzero(sums[n] - sums[:n] >= least - 1e-9)))
-    scores = np.full((starts, width), -np.inf)
+    last = max(1, int(np.count_nonzero(sums[n] - sums[:n] >= least - 1e-9)))
+    starts, scores = np.zeros(0, np.int64), np.zeros((0, width))
     best = (0.0, 0.0)
     for i in range(n):
-        if i < starts:
-            scores[i] = 0.0
-        own = scores[: min(i + 1, starts)]
+        if i < last:
+            # A start is of use only where no earlier one has a score of 0 or more: that one gives a longer stretch.
+            free = scores.max(axis=0, initial=-np.inf) < 0
+            if free.any():
+                starts, scores = np.append(starts, i), np.vstack([scores, np.where(free, 0.0, -np.inf)])
+        lost = scores - (CHANGED_IN - 1) * w[i]
         at = left + i + low
-        lost = own - (CHANGED_IN - 1) * w[i]
-        new = np.where(d[at : at + width] == x[i], own + w[i], lost)
+        new = np.where(d[at : at + width] == x[i], scores + w[i], lost)
         np.maximum(new[:, :-1], lost[:, 1:], out=new[:, :-1])
         for k, ok in spans:
             if k <= width:
                 np.maximum(new[:, k - 1 :], np.where(ok[at : at + width - k + 1], lost[:, : width - k + 1], -np.inf), out=new[:, k - 1 :])
         put_in = CHANGED_IN * upto[at + 1 : at + 1 + width]
         new = np.maximum.accumulate(new + put_in, axis=1) - put_in
-        scores[: len(new)] = new
         top = new.max(axis=1)
         good = np.nonzero(top >= -1e-6)[0]
-        if len(good) and (weight := sums[i + 1] - sums[good[0]]) > best[0] and weight >= least - 1e-9:
+        if len(good) and (weight := sums[i + 1] - sums[starts[good[0]]]) > best[0] and weight >= least - 1e-9:
             best = (float(weight), float(max(0.0, (1 - top[good[0]] / weight) / CHANGED_IN)))
+        alive = top + (sums[n] - sums[i + 1]) >= -1e-6  # others can't come back to 0
+        starts, scores = (starts, new) if alive.all() else (starts[alive], new[alive])
     return best
 
 
@@ -301,6 +308,7 @@ class Side:
         place = np.array([at for _, x in items for at in x.prints], np.int64)
         order = np.argsort(prints, kind="stable")
         self.prints, self.number, self.place = prints[order], number[order], place[order]
+        self.ends = np.searchsorted(self.prints, self.prints, "right")
 
 
 class Index:
@@ -330,11 +338,13 @@ class Index:
             if not side.any_text:
                 own = cjk[owner[places]]
                 places, h = places[own], h[own]
-            lo, hi = np.searchsorted(side.prints, h, "left"), np.searchsorted(side.prints, h, "right")
-            hit = hi > lo
+            lo = np.searchsorted(side.prints, h)
+            hit = lo < len(side.prints)
+            hit[hit] = side.prints[lo[hit]] == h[hit]
             if not hit.any():
                 continue
-            places, lo, n = places[hit], lo[hit], (hi - lo)[hit]
+            places, lo = places[hit], lo[hit]
+            n = side.ends[lo] - lo
             text, at = owner[places], places - first[owner[places]]
             # A gram again and again in the same few places counts once, so that no text is joined with itself over and over.
             _, one = np.unique((text * len(side.prints) + lo << 24) | at // CELL, return_index=True)
@@ -350,15 +360,13 @@ class Index:
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-    def covered(self, text: Sequence, numbers: list[int]) -> list[int]:
-        """Those of the items whose grams the text has in the number that a fitting stretch has at least."""
-        grams = [self.items[n].sequence.grams for n in numbers]
-        ends = np.cumsum([len(g) for g in grams])
-        wanted = np.concatenate(grams)
-        if not len(wanted) or not len(text.grams):
-            return []
-        at = np.minimum(np.searchsorted(text.grams, wanted), len(text.grams) - 1)
-        shared = np.diff(np.concatenate([[0], np.cumsum(text.grams[at] == wanted)])[np.concatenate([[0], ends])])
+    def covered(self, ids: np.ndarray, numbers: list[int]) -> list[int]:
+        """Those of the items whose grams a text of these unit hashes seems to have in the number that a fitting stretch has at least."""
+        marks = np.zeros(1 << 16, np.int32)
+        marks[_all_grams(ids, COVER).astype(np.uint16)] = 1
+        own = [self.items[n].marks for n in numbers]
+        starts = np.cumsum([0] + [len(x) for x in own[:-1]])
+        shared = np.add.reduceat(marks[np.concatenate(own)], starts)
         return [n for n, ok in zip(numbers, shared >= self.covers[numbers]) if ok]
 
 
@@ -385,9 +393,10 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, share: float) -> It
                 ids = [_ids(chars_of(plains[i]) if by_chars else words_of(plains[i]), held) for i in own]
                 pairs = index.pairs(ids, cjk[own], by_chars)
                 for at_text, of_text in groupby(pairs.tolist(), lambda pair: pair // len(index.items)):
-                    i, text = own[at_text], Sequence(ids[at_text])
-                    weights = cache(lambda i=i: weighed(plains[i], by_chars)[1])
-                    for n in index.covered(text, [pair % len(index.items) for pair in of_text]):
+                    i, text, weights = own[at_text], None, None
+                    for n in index.covered(ids[at_text], [pair % len(index.items) for pair in of_text]):
+                        if text is None:
+                            text, weights = Sequence(ids[at_text]), cache(lambda i=i: weighed(plains[i], by_chars)[1])
                         part, changed = longest_stretch(index.items[n], text, weights, share)
                         if part > 0 and part >= share - 1e-9:
                             for k in rows[waiting[i]]:
