@@ -144,6 +144,7 @@ def _from_html(text: str) -> str:
     # The frame of a page stays as lines of no own text, for the distribution to judge.
     text = re.sub(rf"<({FRAME})\b[^>]*>(.*?)</\1\s*>", lambda m: "\n\x02" + re.sub(r"\s*\n\s*", "\n\x02", m.group(2).strip()) + "\n", text, flags=re.S | re.I)
     text = re.sub(r"<a\b[^>]*(?:class=[\"']?[^\"'>]*\b(?:hash-link|headerlink|anchor)\b|aria-hidden)[^>]*>.*?</a\s*>", "", text, flags=re.S | re.I)
+    text = re.sub(r"<a\b[^>]*\bhref\b[^>]*>([^\n]*?)</a\s*>", "\x05\\1\x06", text, flags=re.I)
     text = re.sub(r"<img\b[^>]*?\balt=(?:\"([^\"]*)\"|'([^']*)')[^>]*>", lambda m: m.group(1) or m.group(2) or "", text, flags=re.I)
     text = re.sub(r"<h([1-6])\b[^>]*>\s*(.*?)\s*(?:</h\1\s*>|$)", lambda m: f"\n\n{'#' * int(m.group(1))} {' '.join(m.group(2).split())}\n", text, flags=re.S | re.I)
     text = re.sub(r"<code\b[^>]*>(.*?)</code\s*>", lambda m: f"`{m.group(1)}`" if "\n" not in m.group(1) else m.group(1), text, flags=re.S | re.I)
@@ -210,13 +211,28 @@ def _from_markdown(text: str) -> str:
     return text
 
 
-def surges(weights: list[int], block: int = 3, least: int = 1) -> list[tuple[int, int]]:
+#: The share of the mean block from which on a block holds text, and the most characters that are asked of one.
+SURGE_SHARE, SURGE_MOST = 0.1, 30
+#: What begins a line whose structure is kept whatever its length: headings, list items, cells, code blocks and formulas.
+_STRUCTURE = re.compile(r"#{1,6} |[ \t]*(?:[-*+]|\d+[.)])[ \t]+\S|\x03|.* \| ")
+
+
+def surge_limit(weights: list[int], block: int = 3) -> int:
+    """From how many characters on a block holds text, by the text's own blocks: a tenth of the mean of those with any, 1 to 30."""
+    sums = [x for i in range(len(weights)) if (x := sum(weights[i : i + block]))]
+    return max(1, min(SURGE_MOST, int(SURGE_SHARE * sum(sums) / len(sums)))) if sums else 1
+
+
+def surges(weights: list[int], block: int = 3, least: int | None = None) -> list[tuple[int, int]]:
     """Stretches [from, to) of lines that hold text, by their line-block distribution.
 
     A block is the sum of the weights of ``block`` lines. Text surges at a line of own text whose block reaches
-    ``least`` and dives where a whole block falls below it; the stretch ends with the last line of own text before.
+    ``least`` (by default ``surge_limit``) and dives where a whole block falls below it.
     """
-    blocks = [sum(weights[i : i + block]) for i in range(len(weights))]
+    least = surge_limit(weights, block) if least is None else least
+    final = max(0, len(weights) - block)  # the last lines are judged by the last whole block
+    blocks = [sum(weights[min(i, final) : min(i, final) + block]) for i in range(len(weights))]
+    last = max((i for i, x in enumerate(weights) if x), default=-1)
     out, start = [], None
     for i, x in enumerate(blocks):
         if start is None and weights[i] and x >= least:
@@ -224,7 +240,19 @@ def surges(weights: list[int], block: int = 3, least: int = 1) -> list[tuple[int
         elif start is not None and x < least:
             out.append((start, i))
             start = None
-    return out + ([(start, len(weights))] if start is not None else [])
+    return out + ([(start, max(start, last) + 1)] if start is not None else [])
+
+
+def _own_weight(line: str, least: int) -> int:
+    """The characters of a line that are its own text: none in the frame of a page, none inside links; structure counts as enough."""
+    if line.startswith("\x02"):
+        return 0
+    own = len(_LINKED.sub("", line).strip(_AROUND))
+    return max(own, least) if own and _STRUCTURE.match(line) else own
+
+
+_LINKED = re.compile("\x05[^\x06]*\x06")
+_AROUND = " \t-*+|>\u00b7\u2022/,;:\x02"
 
 
 def clean_text(text: str, kinds: list[str], block: int = 3) -> str:
@@ -243,7 +271,7 @@ def clean_text(text: str, kinds: list[str], block: int = 3) -> str:
             body = html.unescape(TAG.sub("", body))
         return "\n" + keep("```" + (m.group("info") or "").strip() + "\n" + body.strip("\n") + "\n```") + "\n"
 
-    plain = CODE_BLOCK.sub(code, text)
+    plain = CODE_BLOCK.sub(code, re.sub("[\x02-\x06]", "", text))
     plain = re.sub(MARKDOWN["code"], lambda m: keep(m.group()), plain)
     if "latex" in kinds:
         plain = MATH.sub(lambda m: keep(_math_text(m).strip()) if m.group("inline") or m.group("dollar") else "\n" + keep(_math_text(m).strip()) + "\n", plain)
@@ -260,20 +288,21 @@ def clean_text(text: str, kinds: list[str], block: int = 3) -> str:
     if "markdown" in kinds:
         plain = _from_markdown(plain)
     lines = [re.sub(r"[ \t]+$", "", x) for x in plain.split("\n")]
-    weights = [0 if x.startswith("\x02") else len(x.strip()) for x in lines]
     # Blank lines part blocks and are no dive: only lines with text count in the distribution.
-    full = [i for i, x in enumerate(lines) if x.strip("\x02 \t")]
-    stretches = surges([weights[i] for i in full], block)
+    full = [i for i, x in enumerate(lines) if x.strip("\x02\x05\x06 \t")]
+    # Short lines tell the frame of a page from its text in HTML only; elsewhere a line of any own text counts.
+    least = surge_limit([_own_weight(lines[i], 0) for i in full], block) if "html" in kinds else 1
+    stretches = surges([_own_weight(lines[i], least) for i in full], block, least)
     out: list[str] = []
     for lo, hi in stretches:
         for k in range(lo, hi):
             i = full[k]
-            if out and i and not lines[i - 1].strip("\x02 \t"):
+            if out and i and not lines[i - 1].strip("\x02\x05\x06 \t"):
                 out.append("")
             out.append(lines[i].lstrip("\x02"))
     if not stretches:  # nothing but the frame of a page: its text stays
         out = [lines[i].lstrip("\x02") for i in full]
-    clean = "\n".join(out)
+    clean = "\n".join(out).replace("\x05", "").replace("\x06", "")
     while "\x03" in clean:
         new = re.sub(r"\x03(\d+)\x04", lambda m: kept[int(m.group(1))], clean)
         if new == clean:

@@ -279,9 +279,9 @@ def whole_notice(text: str) -> str | None:
     """The kind of notice, error page or filler that a field consists of, or None if it holds anything else."""
     kind, n = None, 0
     for n, x in enumerate(_bare_sentences(text), 1):
-        if len(x) <= 300 and (m := NOTICE.fullmatch(x)):
+        if m := NOTICE.fullmatch(x):
             kind = kind or m.lastgroup
-        elif not (len(x) <= 200 and COMPANION.fullmatch(x)):
+        elif not COMPANION.fullmatch(x):
             break
     else:
         if kind and (kind != "untitled" or n == 1):

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
+#: Room that the breadcrumbs leave to the text, in overlaps: with less a piece would hold hardly more than what it shares.
+LEAST_ROOM = 2
 SEPARATOR = " > "
 #: The characters that end an unbroken stretch.
 BREAKS = " \t\n.!?;,。！？；，、"
@@ -104,7 +106,7 @@ def _split_rows(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) ->
     for batch in batches:
         ids, pieces = [], []
         for row_id, text, crumbs in zip(*(c.to_pylist() for c in batch.columns)):
-            line = heading_line(crumbs, limit // 2)
+            line = heading_line(crumbs, max(0, limit - max(1, LEAST_ROOM * overlap)))
             forced = int(longest_stretch(text) > limit)
             parts = split_text(text, limit - len(line), overlap)
             ids += [row_id] * len(parts)
@@ -120,8 +122,8 @@ def _split_rows(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) ->
 def split_oversized(df: DataFrame, id_column: str = "row_id", text: str = "text", breadcrumbs: str = "breadcrumbs", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of the rows whose text and breadcrumbs together exceed ``limit`` characters, without separators.
 
-    (id, piece_no, n_pieces, heading, piece, shared_chars, start_char, cut, forced): ``heading`` holds the breadcrumbs, at most
-    half of the limit long; heading and piece together have at most ``limit`` characters. The piece's first ``shared_chars``
+    (id, piece_no, n_pieces, heading, piece, shared_chars, start_char, cut, forced): ``heading`` holds the breadcrumbs,
+    cut short only where they would leave less room than two overlaps; heading and piece together have at most ``limit`` characters. The piece's first ``shared_chars``
     characters are also the end of the piece before; without these, the pieces in order are the text, letter by letter.
     cut names the boundary before the piece; forced is 1 if the text has a longer unbroken stretch than ``limit``.
 

@@ -41,6 +41,19 @@ def test_frame_lines_are_cut_between_surge_and_dive():
     assert M.surges([0, 0, 5, 0, 0, 0, 0, 7], 3) == [(2, 3), (7, 8)]
 
 
+def test_distribution_alone_cuts_a_list_of_links():
+    menu = "<div class='menu'>" + "<br>".join(f"<a href='/{x}'>{x} pages and more</a>" for x in ("Home", "Products", "Support", "Contact")) + "</div>"
+    page = f"<body>{menu}<h1>Flashing</h1><p>Hold the button until the lamp on the board is lit, then connect the cable.</p><ul><li>one</li><li>two</li></ul><p>See <a href='/x'>the guide</a>.</p></body>"
+    assert clean(page) == "# Flashing\n\nHold the button until the lamp on the board is lit, then connect the cable.\n\n- one\n- two\n\nSee the guide."
+    assert "Home pages" in M.clean_text(menu, ["html"])  # nothing else is there
+
+
+def test_limit_comes_from_the_blocks_of_the_text():
+    assert M.surges([0, 0, 0, 5, 1, 1, 1, 1, 1, 300, 1, 1, 1]) == [(3, 4), (7, 10)]
+    assert M.surge_limit([]) == M.surge_limit([0, 0]) == M.surge_limit([3, 4]) == 1 and M.surge_limit([500] * 9) == M.SURGE_MOST
+    assert M.surges([2, 2, 2]) == [(0, 3)] and M.surges([]) == [] and M.surges([0, 0]) == []
+
+
 def test_operator_over_odd_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", None, "c"), (1, "<p>a", "", "c"), (None, None, "x" * 50_000 + " **b**", "c")], "row_id long, text string, answer string, clean string")
     got = sorted((str(r.row_id), r.field_name, len(r.clean), len(r.markups)) for r in M.without_markup(df, "row_id", "text", "answer").collect())

@@ -59,3 +59,9 @@ def test_tutorials_are_told_by_context_and_density():
     assert R.residue_of("A placeholder {{ name }} is filled in. Dear {{ owner }}, {{ date }} {{ place }}.") == ["spot:mustache"]
     dense = "The placeholder {{ name }} " + "which stands for a word that is long " * 8 + "is filled in. The placeholder {{ date }} " + "which stands for a word that is long " * 8 + "too. {{ owner }}"
     assert R.residue_of(dense) == ["spot:mustache"]
+
+
+def test_long_notices_are_found_whole():
+    trace = "Traceback (most recent call last): File \"/srv/app/pages.py\", line 214, in render " + "File \"/srv/app/views.py\", line 77, in show " * 9 + "KeyError: 'title'"
+    assert len(trace) > 400 and R.whole_notice(trace) == "error"
+    assert R.whole_notice("<div>" * 400 + "404 Not Found" + "</div>" * 400) == "error"

@@ -40,3 +40,10 @@ def test_operator_over_odd_rows(spark):
     assert {r.forced for r in own} == {1} and {r.forced for r in got if r.row_id == 1} == {0}
     assert len({(r.row_id, r.piece_no) for r in got if r.row_id == 1}) * 2 == sum(r.row_id == 1 for r in got)
     assert S.split_oversized(df.limit(0)).count() == 0
+
+
+def test_long_breadcrumbs_stay_whole_where_they_leave_room(spark):
+    df = spark.createDataFrame([(1, "word " * 400, ["b" * 1500]), (2, "word " * 400, ["b" * 1900])], "row_id long, text string, breadcrumbs array<string>")
+    got = S.split_oversized(df).collect()
+    assert {r.heading for r in got if r.row_id == 1} == {"b" * 1500}
+    assert {len(r.heading) for r in got if r.row_id == 2} == {1600} and all(len(r.heading) + len(r.piece) <= 2000 for r in got)
