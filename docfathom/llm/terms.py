@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfathom.session import written
+
 #: The characters of a term and its length in characters.
 TERM_RUN = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]+"
 TERM_MIN, TERM_MAX = 2, 40
@@ -106,42 +107,22 @@ def frequencies(df: DataFrame, texts: dict[str, float], values: dict[str, float]
     return out.select("field_name", "term", "occurrences", "n_rows", "mark")
 
 
-def _joint(batches: Iterator[pa.RecordBatch], hot: dict[str, tuple[int, int]], least: int, salts: int) -> Iterator[pa.RecordBatch]:
+def _joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        row_ids, terms, counts, lengths, keys, hot_n, hot_rows = [], [], [], [], [], [], []
-        for k, (row_id, text) in enumerate(zip(ids, _rows_of_batch(batch, 1))):
+        at, terms, counts, lengths, firsts = [], [], [], [], []
+        for k, text in enumerate(_rows_of_batch(batch, 1)):
             own = _counted(text)
-            length = sum(own.values())
-            for x, n in own.items():
-                if n < least:
-                    continue
-                there = hot.get(x)
-                row_ids.append(row_id)
-                terms.append(x)
-                counts.append(n)
-                lengths.append(length)
-                keys.append(x if there is None else f"\x00{k % salts}")
-                hot_n.append(there and there[0])
-                hot_rows.append(there and there[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row_ids, batch.schema.field(0).type), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(keys, pa.string()), pa.array(hot_n, pa.int64()), pa.array(hot_rows, pa.int64())],
-            names=["id", "term", "n", "row_terms", "key", "hot_n", "hot_rows"],
-        )
-
-
-def _row_lengths(batches: Iterator[pa.RecordBatch], exponent: float) -> Iterator[pa.RecordBatch]:
-    total, smoothed, rows = 0, 0.0, 0
-    for batch in batches:
-        for text in _rows_of_batch(batch, 0):
-            if n := len(terms_of(text)):
-                total += n
-                smoothed += math.pow(n, exponent)
-                rows += 1
-    yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([smoothed], pa.float64()), pa.array([rows], pa.int64())], names=["total", "smoothed", "n_rows"])
+            if own:
+                at += [k] * len(own)
+                terms += own
+                counts += own.values()
+                lengths += [sum(own.values())] * len(own)
+                firsts += [True] + [False] * (len(own) - 1)
+        columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(firsts, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "term", "n", "row_terms", "first"])
 
 
-def distinctive_terms(df: DataFrame, id_column: str, *columns: str, exponent: float = 0.75, least: int = 1, hot_rows: int = 200, salts: int = 256) -> DataFrame:
+def distinctive_terms(df: DataFrame, id_column: str, *columns: str, exponent: float = 0.75, least: int = 1, hot_rows: int = 200) -> DataFrame:
     """(id, term, n, row_terms, term_n, term_rows, score): positive pointwise mutual information of term and row.
 
     score = max(0, ln(p(term, row) / (p(term) * p'(row)))) with p(term, row) = n / N, p(term) = term_n / N and the
@@ -149,24 +130,24 @@ def distinctive_terms(df: DataFrame, id_column: str, *columns: str, exponent: fl
     out pairs with fewer occurrences from the result, not from the counts. Every physical row is a row of its own, also
     under a repeated or null id. Rows without terms have no line.
 
-    One group-by for the marginals and one join of the pairs with them. A term in more than 1 of ``hot_rows`` rows
-    would be a hot key; there are at most hot_rows times the mean number of distinct terms of a row of these, whatever
-    the size of the table, so their marginals are handed to the tasks and their pairs spread over ``salts`` keys.
+    Texts are read once: the joint counts are written to the shared folder, and the marginals, the context sum and the
+    pairs are group-bys and joins of that table. A term in more than 1 of ``hot_rows`` rows would be a hot key; there
+    are at most hot_rows times the mean number of distinct terms of a row of these, whatever the size of the table, so
+    their marginals are handed to the tasks and the join by key meets the other terms only.
     """
     if not columns:
         raise ValueError("no column to take terms from")
     texts = df.select(df[id_column].alias("id"), *(df[c].alias(f"text_{i}") for i, c in enumerate(columns)))
-    only = texts.drop("id")
-    names = only.columns
-    sums = only.mapInArrow(partial(_row_lengths, exponent=exponent), "total long, smoothed double, n_rows long").agg(F.sum("total"), F.sum("smoothed"), F.sum("n_rows")).first()
-    total, smoothed, rows = (sums[0] or 0), (sums[1] or 0.0), (sums[2] or 0)
-    marginals = term_counts(only, *names)
-    hot = {r.term: (r.occurrences, r.n_rows) for r in marginals.where(F.col("n_rows") > max(1000, rows // hot_rows)).collect()}
     id_type = df.schema[id_column].dataType.simpleString()
-    pairs = texts.mapInArrow(partial(_joint, hot=hot, least=least, salts=salts), f"id {id_type}, term string, n long, row_terms long, key string, hot_n long, hot_rows long")
-    known = marginals.select(F.col("term").alias("key"), F.col("occurrences").alias("cold_n"), F.col("n_rows").alias("cold_rows"))
-    both = pairs.join(known, "key", "left")
-    term_n, term_rows = F.coalesce("hot_n", "cold_n"), F.coalesce("hot_rows", "cold_rows")
+    joint = written(texts.mapInArrow(_joint, f"id {id_type}, term string, n int, row_terms int, first boolean"))
+    sums = joint.where("first").agg(F.sum(F.pow("row_terms", F.lit(exponent))), F.count("*")).first()
+    smoothed, rows = (sums[0] or 0.0), (sums[1] or 0)
+    marginals = joint.groupBy("term").agg(F.sum("n").alias("term_n"), F.count("*").alias("term_rows"))
+    limit = max(1000, rows // hot_rows)
+    hot = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in marginals.where(F.col("term_rows") > limit).collect()], "term string, term_n long, term_rows long"))
+    pairs = joint.where(F.col("n") >= least).drop("first")
+    # Pairs that are not asked for are left out before the join, and so are the marginals of their terms.
+    both = pairs.join(hot, "term").unionByName(pairs.join(hot, "term", "left_anti").join(marginals.where(F.col("term_rows") <= limit), "term"))
     # n / N / (term_n / N * row_terms^a / S) = n * S / (term_n * row_terms^a)
-    score = F.greatest(F.lit(0.0), F.log(F.col("n") * F.lit(float(smoothed)) / (term_n * F.pow("row_terms", F.lit(exponent)))))
-    return both.select(F.col("id").alias(id_column), "term", "n", "row_terms", term_n.alias("term_n"), term_rows.alias("term_rows"), score.alias("score"))
+    score = F.greatest(F.lit(0.0), F.log(F.col("n") * F.lit(float(smoothed)) / (F.col("term_n") * F.pow("row_terms", F.lit(exponent)))))
+    return both.select(F.col("id").alias(id_column), "term", F.col("n").cast("long").alias("n"), F.col("row_terms").cast("long").alias("row_terms"), "term_n", "term_rows", score.alias("score"))
