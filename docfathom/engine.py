@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from copy import deepcopy
 from itertools import chain
@@ -17,7 +18,7 @@ from docfathom.functions import wordlists as W
 from docfathom.functions.boards import TEST_BOARDS, BoardRule, board_scale, mentioned_boards
 from docfathom.operators import index, ranking, sections
 from docfathom.plans import planner
-from docfathom.session import cut_lineage
+from docfathom.session import ensure_checkpoint_dir, written
 
 DEFAULT_LIMIT, MOST_LIMIT, LONGEST_QUERY = 8, 20, 500
 
@@ -35,15 +36,13 @@ class Engine:
     coverage, fusion, page.
     """
 
-    def __init__(self, docs: DataFrame, manuals: DataFrame, boards: Sequence[BoardRule] = TEST_BOARDS, synonyms: Mapping[str, list[str]] = W.SYNONYMS, without: Iterable[str] = (), post: DataFrame | None = None) -> None:
+    def __init__(self, docs: DataFrame, manuals: DataFrame, boards: Sequence[BoardRule] = TEST_BOARDS, synonyms: Mapping[str, list[str]] = W.SYNONYMS, without: Iterable[str] = (), kept: index.Index | None = None) -> None:
         self.spark: SparkSession = docs.sparkSession
         self.docs, self.boards, self.synonyms, self.without = docs, tuple(boards), synonyms, frozenset(without)
         self.manual_rows = sorted(manuals.collect(), key=lambda r: r.manual_id)  # a fixed dimension: one row for each manual
         self.manual_table = manuals
-        self.post = cut_lineage(index.postings(docs)) if post is None else post
-        self.lengths = index.document_lengths(self.post)
-        self.sums = cut_lineage(index.corpus_sums(docs, self.lengths))
-        self.frequencies = cut_lineage(index.document_frequencies(self.post))
+        kept = kept or index.write_index(docs, f"{ensure_checkpoint_dir(self.spark)}/index-{uuid.uuid4().hex}")
+        self.kept, self.post, self.lengths, self.sums, self.frequencies = kept, kept.post, kept.lengths, kept.sums, kept.frequencies
         self.n_docs = self.sums.agg(F.sum("n_docs")).first()[0] or 0
 
     # --- What there is ----------------------------------------------------------------------------------------------
@@ -141,15 +140,15 @@ class Engine:
         stats = allowed_df.join(self.sums, "manual_id").groupBy("query_id").agg(F.sum("n_docs").alias("n"), *(F.sum(f"sum_{x}").alias(f"all_{x}") for x in ("title", "url", "body")))
         df = terms.join(self.frequencies, "term").join(allowed_df, ["query_id", "manual_id"]).groupBy("query_id", "term", "qtf").agg(F.sum("df").alias("df"))
         wanted = df.join(stats, "query_id")
-        rows = self.post.join(wanted, "term").join(allowed_df, ["query_id", "manual_id"]).join(self.lengths, ["manual_id", "doc_id"])
+        rows = self.post.join(wanted, "term").join(allowed_df, ["query_id", "manual_id"])
         raw_idf = ranking.idf(F.col("n"), F.col("df"))
         fields = sum(w * ranking.saturated(F.col(f"tf_{x}"), F.col(f"len_{x}"), F.col(f"all_{x}") / F.col("n")) for x, w in (("title", W.TITLE_WEIGHT), ("url", W.URL_WEIGHT), ("body", W.BODY_WEIGHT)))
         scores = rows.select("query_id", "manual_id", "doc_id", (fields * ranking.damped(raw_idf) * F.col("qtf")).alias("score"))
-        pool = cut_lineage(ranking.candidate_pool(ranking.bm25(scores)))
+        pool = written(ranking.candidate_pool(ranking.bm25(scores)))
 
         # The terms of concepts that the manuals of the query have, with their frequencies there.
         known = concepts.join(self.frequencies, "term").join(allowed_df, ["query_id", "manual_id"]).groupBy("query_id", "concept_id", "min_hits", "term", "content").agg(F.sum("df").alias("df")).join(stats.select("query_id", "n"), "query_id")
-        known = cut_lineage(known)
+        known = written(known)
         distinctive = ranking.distinctive_concepts(known)
         available = distinctive.groupBy("query_id").agg(F.count("*").alias("available"))
         found = ranking.concept_hits(ranking.useful_terms(known).select("query_id", "concept_id", "min_hits", "term"), self.post.join(pool.select("doc_id").distinct(), "doc_id", "left_semi"))

@@ -194,7 +194,7 @@ def alternate_query_fusion(spark, d):
     pages = page_hits(s).select("query_id", F.lit("page").alias("list_id"), "page", F.col("place").alias("rank"))
     chunks = s.pool().join(s.docs.select("doc_id", urls.page_url(F.col("url")).alias("page")), "doc_id")
     lists = pages.unionByName(chunks.select("query_id", F.lit("chunk").alias("list_id"), "page", (F.col("bm25_rank") + 1).alias("rank")))
-    return ranking.fuse_lists(lists).withColumn("score", F.round("score", 6))
+    return ranking.fuse_lists(lists, digits=6)
 
 
 @query("SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, count(*) AS n FROM events GROUP BY event_type")

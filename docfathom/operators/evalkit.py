@@ -52,7 +52,7 @@ def ablation(engine, queries: list, cases: DataFrame, stages: list[str]) -> Data
     """(stage, n, hit_at_1, hit_at_3, mrr) of the search as it is ('none') and with each stage left out; the index is shared."""
     out = None
     for stage in ["none", *stages]:
-        own = engine if stage == "none" else type(engine)(engine.docs, engine.manual_table, engine.boards, engine.synonyms, {*engine.without, stage}, engine.post)
+        own = engine if stage == "none" else type(engine)(engine.docs, engine.manual_table, engine.boards, engine.synonyms, {*engine.without, stage}, engine.kept)
         hits = own.search(queries).select(F.col("query_id").alias("item_id"), "place", F.col("page").alias("url"), (F.col("quality") == "weak").alias("weak"))
         row = summary(ranks(cases, hits)).select(F.lit(stage).alias("stage"), "n", "hit_at_1", "hit_at_3", "mrr")
         out = row if out is None else out.unionByName(row)

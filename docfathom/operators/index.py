@@ -1,63 +1,90 @@
 """The fielded inverted index as tables: postings with a weighted count by field, document lengths and corpus sums.
 
-Documents are rows of (doc_id, manual_id, title, url, snippet, text, answer, breadcrumbs). Persist ``postings`` sorted
-by term within ``manual_id`` partitions (see ``write_index``): queries then read the row groups of their terms only.
+Documents are rows of (doc_id, manual_id, title, url, snippet, text, answer, breadcrumbs). ``write_index`` keeps them as
+segments sorted by term: queries read the row groups of their terms only.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfathom.functions import analysis
 from docfathom.functions import wordlists as W
 from docfathom.functions.tokenizer import weighted_terms
+from docfathom.session import ensure_checkpoint_dir
 
 
 def latest_documents(docs: DataFrame) -> DataFrame:
-    """One row of each (manual_id, doc_ord): the one ingested last, the highest row_id in a tie.
+    """One row of each (manual_id, doc_ord): the one ingested last, the highest row_id in a tie; nulls are a key like others.
 
-    A max over structs combines before the shuffle, so that a document delivered very often is no hot key.
+    Keys are counted first, combined in each task. Only the rows of keys that were delivered more than once are grouped
+    then; all others keep their place, and no text of theirs is shuffled where the repeated keys are few.
     """
-    rest = [c for c in docs.columns if c not in ("manual_id", "doc_ord")]
+    keys = ("manual_id", "doc_ord")
+    again = docs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(k).alias(f"again_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"again_{k}")) for k in keys))
+    rest = [c for c in docs.columns if c not in keys]
     last = F.max_by(F.struct(*rest), F.struct("ingested_at", "row_id")).alias("last")
-    return docs.groupBy("manual_id", "doc_ord").agg(last).select("manual_id", "doc_ord", "last.*")
+    repeated = docs.join(again, same, "left_semi").groupBy(*keys).agg(last).select(*keys, "last.*")
+    return docs.join(again, same, "left_anti").select(*keys, *rest).unionByName(repeated)
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post(batches: Iterator[pa.RecordBatch], lengths: bool) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "manual_id", "term", "tf_title", "tf_url", "tf_body"] + (["len_title", "len_url", "len_body", "first"] if lengths else [])
     for batch in batches:
-        places, terms, counts = [], [], ([], [], [])
+        places, terms, counts, sums, sizes = [], [], ([], [], []), ([], [], []), []
         for k, (title, path, body, answer) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(2, 6)))):
             title, path, body = weighted_terms(title), weighted_terms(path), weighted_terms(body)
             for x, n in weighted_terms(answer, W.ANSWER_WEIGHT).items():
                 own = body.get(x, 0.0)
                 if own < W.ANSWER_WEIGHT:
                     body[x] = min(W.ANSWER_WEIGHT, own + n)
-            for x in title.keys() | path.keys() | body.keys():
-                places.append(k)
-                terms.append(x)
-                for to, field in zip(counts, (title, path, body)):
-                    to.append(field.get(x, 0.0))
+            every = title.keys() | path.keys() | body.keys()
+            if not every:
+                continue
+            places += [k] * len(every)
+            terms += every
+            sizes.append(len(every))
+            for to, total, field in zip(counts, sums, (title, path, body)):
+                to += [field.get(x, 0.0) for x in every]
+                total.append(sum(field.values()))
         at = pa.array(places, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(terms, pa.string()), *(pa.array(c, pa.float64()) for c in counts)], names=["doc_id", "manual_id", "term", "tf_title", "tf_url", "tf_body"])
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(terms, pa.string()), *(pa.array(c, pa.float64()) for c in counts)]
+        if lengths:
+            columns += [pa.array(np.repeat(np.array(x, np.float64), sizes)) for x in sums]
+            first = np.zeros(len(terms), bool)
+            first[np.cumsum([0, *sizes[:-1]])[: len(sizes)]] = True
+            columns.append(pa.array(first))
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, lengths: bool = False) -> DataFrame:
     """(doc_id, manual_id, term, tf_title, tf_url, tf_body): weighted counts of each term of a document by field.
 
     Answers count for half in the body and never lift a term above 0.5. All terms of a document come from its own row:
-    no shuffle. Documents of null or empty fields have no terms in these.
+    no shuffle. Documents of null or empty fields have no terms in these. With ``lengths`` each posting also has the
+    three lengths of its document, so that scoring needs no join, and tells whether it is the document's first.
     """
     body = analysis.body_text(F.col("snippet"), F.col("text"), F.col("breadcrumbs"))
     rows = docs.select("doc_id", "manual_id", "title", analysis.url_path(F.col("url")).alias("path"), body.alias("body"), F.substring(F.coalesce("answer", F.lit("")), 1, W.BODY_CAP).alias("answer"))
-    kinds = docs.schema
-    return rows.mapInArrow(_post, f"doc_id {kinds['doc_id'].dataType.simpleString()}, manual_id {kinds['manual_id'].dataType.simpleString()}, term string, tf_title double, tf_url double, tf_body double")
+    kind = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "manual_id")}
+    schema = f"doc_id {kind['doc_id']}, manual_id {kind['manual_id']}, term string, tf_title double, tf_url double, tf_body double"
+    return rows.mapInArrow(partial(_post, lengths=lengths), schema + (", len_title double, len_url double, len_body double, first boolean" if lengths else ""))
 
 
 def document_lengths(post: DataFrame) -> DataFrame:
+    """(manual_id, doc_id, len_title, len_url, len_body): taken from the first posting of each document where postings have it."""
+    if "first" in post.columns:
+        return post.where("first").select("manual_id", "doc_id", "len_title", "len_url", "len_body")
     return post.groupBy("manual_id", "doc_id").agg(*(F.sum(f"tf_{x}").alias(f"len_{x}") for x in ("title", "url", "body")))
 
 
@@ -87,12 +114,112 @@ def analysed(rows: DataFrame, id_column: str, text: str) -> DataFrame:
     return rows.select(rows[id_column].alias("id"), rows[text].alias("text")).mapInArrow(_weighted, f"id {kind}, term string, weight double")
 
 
-def write_index(docs: DataFrame, path: str) -> None:
-    """Postings, lengths, frequencies and sums written by manual; postings sorted by term, for pruning by row group."""
-    post = postings(docs)
-    post.repartition("manual_id", F.substring("term", 1, 2)).sortWithinPartitions("term").write.mode("overwrite").partitionBy("manual_id").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
-    post = docs.sparkSession.read.parquet(f"{path}/postings")
+@dataclass(frozen=True)
+class Index:
+    """The four tables of an index: postings with lengths, document lengths, frequencies and sums, the last three by manual."""
+
+    post: DataFrame
+    lengths: DataFrame
+    frequencies: DataFrame
+    sums: DataFrame
+
+
+TABLES = ("postings", "lengths", "frequencies", "sums")
+
+
+def write_index(docs: DataFrame, path: str, merged: bool = False) -> Index:
+    """The index of ``docs`` as Parquet under ``path``, read again.
+
+    Each task writes a segment of the postings of its documents, sorted by term: nothing is shuffled, and the row groups
+    of a term are found by their bounds and bloom filter. ``merged`` brings the postings of a term together instead, by
+    one shuffle that splits a term with very many postings over several tasks; do so for an index that is read often.
+    """
+    spark = docs.sparkSession
+    post = postings(docs, lengths=True)
+    if merged:
+        view = f"docfathom_postings_{uuid.uuid4().hex}"
+        post.createOrReplaceTempView(view)
+        post = spark.sql(f"SELECT /*+ REBALANCE(term) */ * FROM {view}")
+    post.sortWithinPartitions("term").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").option("parquet.block.size", str(32 << 20)).parquet(f"{path}/postings")
+    _write_statistics(docs, path, "overwrite")
+    return read_index(spark, path)
+
+
+def _write_statistics(docs: DataFrame, path: str, mode: str, manuals: DataFrame | None = None) -> None:
+    spark = docs.sparkSession
+    post = spark.read.parquet(f"{path}/postings")
+    post = post if manuals is None else post.join(manuals, "manual_id", "left_semi")
     lengths = document_lengths(post)
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    document_frequencies(post).write.mode("overwrite").parquet(f"{path}/frequencies")
-    corpus_sums(docs, docs.sparkSession.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/sums")
+    lengths.write.mode(mode).parquet(f"{path}/lengths")
+    document_frequencies(post).write.mode(mode).parquet(f"{path}/frequencies")
+    corpus_sums(docs, document_lengths(post)).write.mode(mode).parquet(f"{path}/sums")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in TABLES))
+
+
+def reindex(docs: DataFrame, path: str) -> Index:
+    """The index under ``path`` with the manuals of ``docs`` written anew in all four tables, others unchanged.
+
+    The tables are written beside the old ones and take their place as a whole: a reader sees the old index or the
+    new one, and a run broken off leaves the old one.
+    """
+    spark = docs.sparkSession
+    touched = docs.select("manual_id").distinct()
+    new = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
+    if not _exists(spark, path):
+        write_index(docs, new)
+    else:
+        write_index(docs, f"{new}/touched")
+        for x in TABLES:
+            kept = spark.read.parquet(f"{path}/{x}").join(touched, "manual_id", "left_anti")
+            both = kept.unionByName(spark.read.parquet(f"{new}/touched/{x}"))
+            (both.sortWithinPartitions("term") if x == "postings" else both).write.parquet(f"{new}/{x}")
+        _delete(spark, f"{new}/touched")
+    _delete(spark, path)
+    _rename(spark, new, path)
+    return read_index(spark, path)
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _path(spark, path)
+    return bool(fs.exists(where))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, where = _path(spark, path)
+    fs.delete(where, True)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, where = _path(spark, old)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"{old} could not be moved to {new}")
+
+
+_kept: dict[str, str] = {}
+
+
+def kept_index(docs: DataFrame) -> Index:
+    """The index of ``docs``, written once in a session to the shared checkpoint folder and read from then on.
+
+    It is known by the files that ``docs`` reads and when their folder was changed last: other files give another index.
+    """
+    spark = docs.sparkSession
+    files = sorted(docs.inputFiles())
+    changed = []
+    for folder in sorted({x.rsplit("/", 1)[0] for x in files}):
+        fs, where = _path(spark, folder)
+        changed.append(str(fs.getFileStatus(where).getModificationTime()))
+    key = hashlib.sha256("\n".join([spark.sparkContext.applicationId, *files, *changed]).encode()).hexdigest()[:32]
+    if key not in _kept:
+        path = f"{ensure_checkpoint_dir(spark)}/index-{key}"
+        write_index(docs, path)
+        _kept[key] = path
+    return read_index(spark, _kept[key])

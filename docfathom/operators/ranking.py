@@ -26,16 +26,16 @@ def saturated(tf: Column, length: Column, mean: Column) -> Column:
     return F.when(tf > 0, tf * (W.K1 + 1) / (tf + W.K1 * (1 - W.B + W.B * length / mean))).otherwise(0.0)
 
 
-def term_scores(query_terms: DataFrame, post: DataFrame, lengths: DataFrame, sums: DataFrame, frequencies: DataFrame) -> DataFrame:
+def term_scores(query_terms: DataFrame, post: DataFrame, sums: DataFrame, frequencies: DataFrame) -> DataFrame:
     """(query_id, manual_id, doc_id, term, idf, score) of each query term in each document that has it.
 
-    Statistics are those of the corpus given: filter all tables to the same manuals first. Query terms are few and
-    handed to all tasks by Spark where their size allows; postings are read by term.
+    Statistics are those of the corpus given: filter all tables to the same manuals first. Postings have the lengths of
+    their document. Query terms are few and handed to all tasks by Spark where their size allows; postings are read by term.
     """
     stats = sums.agg(F.sum("n_docs").alias("n"), *(F.sum(f"sum_{x}").alias(f"all_{x}") for x in ("title", "url", "body"))).withColumn("one", F.lit(1))
     df = frequencies.groupBy("term").agg(F.sum("df").alias("df"))
     wanted = query_terms.join(df, "term").withColumn("one", F.lit(1)).join(F.broadcast(stats), "one").drop("one")
-    rows = post.join(wanted, "term").join(lengths, ["manual_id", "doc_id"])
+    rows = post.join(wanted, "term")
     raw = idf(F.col("n"), F.col("df"))
     fields = sum(w * saturated(F.col(f"tf_{x}"), F.col(f"len_{x}"), F.col(f"all_{x}") / F.col("n")) for x, w in (("title", W.TITLE_WEIGHT), ("url", W.URL_WEIGHT), ("body", W.BODY_WEIGHT)))
     return rows.select("query_id", "manual_id", "doc_id", "term", raw.alias("idf"), (fields * damped(raw) * F.col("qtf")).alias("score"))
@@ -184,18 +184,21 @@ def page_key(url: Column) -> Column:
 def pages_of_chunks(chunks: DataFrame, digits: int = 9) -> DataFrame:
     """(query_id, page, score, doc_id, n_chunks) from (query_id, page, doc_id, score): the best chunk and a share of the others.
 
-    The k-th best chunk adds 0.3 of its score by k - 1; the page is shown by its best chunk.
+    The k-th best chunk adds 0.3 of its score by k - 1; the page is shown by its best chunk. Parts are summed as whole
+    numbers of 1e-12, so that the sum does not depend on their order.
     """
     k = F.row_number().over(Window.partitionBy("query_id", "page").orderBy(F.desc("score"), "doc_id"))
     rows = chunks.withColumn("k", k)
     part = F.when(F.col("k") == 1, F.col("score")).otherwise(W.PAGE_REST * F.col("score") / (F.col("k") - 1))
-    return rows.groupBy("query_id", "page").agg(F.round(F.sum(part), digits).alias("score"), F.max(F.when(F.col("k") == 1, F.col("doc_id"))).alias("doc_id"), F.count("*").alias("n_chunks"))
+    unit = 10 ** (12 - digits)
+    total = F.floor((F.sum(F.round(part * 1e12).cast("long")) + unit // 2) / F.lit(float(unit))) / F.lit(10.0**digits)
+    return rows.groupBy("query_id", "page").agg(total.alias("score"), F.max(F.when(F.col("k") == 1, F.col("doc_id"))).alias("doc_id"), F.count("*").alias("n_chunks"))
 
 
-def fuse_lists(lists: DataFrame, k: int = W.RRF_K) -> DataFrame:
+def fuse_lists(lists: DataFrame, k: int = W.RRF_K, digits: int = 9) -> DataFrame:
     """(query_id, page, score) from ranked lists (query_id, list_id, page, rank): the first place of a page in each list counts."""
     first = lists.groupBy("query_id", "list_id", "page").agg(F.min("rank").alias("rank"))
-    return first.groupBy("query_id", "page").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
+    return first.groupBy("query_id", "page").agg(F.round(F.sum(1 / (k + F.col("rank"))), digits).alias("score"))
 
 
 def merged_with_quota(docs: DataFrame, forum: DataFrame, limit: int) -> DataFrame:

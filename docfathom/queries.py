@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from docfathom.functions import analysis, boards, urls
 from docfathom.functions import text as T
 from docfathom.functions import wordlists as W
 from docfathom.operators import curation, evalkit, index, ranking
-from docfathom.session import cut_lineage, table
+from docfathom.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -168,20 +169,23 @@ def literal_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 class Searched:
-    """The index of a data folder and the BM25 pool of its evaluation queries; tables used more than once are cut off here."""
+    """The kept index of a data folder and the BM25 pool of its evaluation queries."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
         self.docs = docs(spark, d)
-        self.post = cut_lineage(index.postings(self.docs))
-        self.lengths = index.document_lengths(self.post)
-        self.sums = index.corpus_sums(self.docs, self.lengths)
-        self.frequencies = index.document_frequencies(self.post)
-        self.terms = literal_terms(spark, d)
-        self.scores = ranking.term_scores(self.terms, self.post, self.lengths, self.sums, self.frequencies)
+        kept = index.kept_index(self.docs)
+        self.post, self.lengths, self.sums, self.frequencies = kept.post, kept.lengths, kept.sums, kept.frequencies
+        self.terms = written(literal_terms(spark, d))
+        self.scores = ranking.term_scores(self.terms, self.post, self.sums, self.frequencies)
         self.raw = ranking.bm25(self.scores, 6)
 
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """The pool written once: at most W.POOL rows of each query."""
+        return written(ranking.candidate_pool(self.raw))
+
     def pool(self) -> DataFrame:
-        return ranking.candidate_pool(self.raw)
+        return self.ranked
 
 
 @query(SCORES + "SELECT query_id, manual_id, doc_id, raw FROM raw")
@@ -262,7 +266,7 @@ def rank_fusion(spark, d):
 
 PAGES = FUSED + """, chunk AS (SELECT query_id, split_part(url, '#', 1) AS page, doc_id, score FROM fused JOIN docs USING (doc_id)),
 nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, page ORDER BY score DESC, doc_id) AS k FROM chunk),
-pages AS (SELECT query_id, page, round(sum(CASE WHEN k = 1 THEN score ELSE 0.3 * score / (k - 1) END), 6) AS score, max(CASE WHEN k = 1 THEN doc_id END) AS doc_id, count(*) AS n_chunks FROM nth GROUP BY ALL),
+pages AS (SELECT query_id, page, (floor((sum(CAST(round(1e12 * (CASE WHEN k = 1 THEN score ELSE 0.3 * score / (k - 1) END)) AS BIGINT)) + 500000) / 1e6) / 1e6)::DOUBLE AS score, max(CASE WHEN k = 1 THEN doc_id END) AS doc_id, count(*) AS n_chunks FROM nth GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS place FROM pages)
 """
 
@@ -314,7 +318,7 @@ def structure_scale(spark, d):
 FROM (SELECT doc_id, coalesce(text, '') AS text, 1 + length(regexp_replace(coalesce(text, ''), '[^?？]', '', 'g')) AS topics, len_body / mean AS r FROM docs JOIN lengths USING (manual_id, doc_id), (SELECT sum(sum_body) / sum(n_docs) AS mean FROM sums))""")
 def breadth_scale(spark, d):
     rows = docs(spark, d)
-    lengths = index.document_lengths(cut_lineage(index.postings(rows)))
+    lengths = index.kept_index(rows).lengths
     mean = lengths.agg(F.sum("len_body")).first()[0] / max(1, rows.count())
     scale = ranking.breadth_scale(F.col("text"), F.col("len_body"), F.lit(float(mean)))
     return rows.join(lengths, ["manual_id", "doc_id"]).select("doc_id", F.round(scale, 6).alias("scale"))

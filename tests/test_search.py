@@ -57,7 +57,7 @@ def test_cjk_and_alternates(engine):
 
 
 def test_stages_can_be_left_out(engine, spark):
-    plain = Engine(engine.docs, engine.manual_table, without=("fusion", "coverage", "structure", "board"), post=engine.post)
+    plain = Engine(engine.docs, engine.manual_table, without=("fusion", "coverage", "structure", "board"), kept=engine.kept)
     assert pages(plain, "recovery partition")[0].page == "https://d.e/b"
 
 
