@@ -173,7 +173,8 @@ class Engine:
             chunks = full.withColumn("score", F.col("blended"))
         else:
             common = ranking.common_title_terms(wanted).select("query_id", F.col("term").alias("token"), F.lit(True).alias("common"))
-            lexical = ranking.lexical_scores(full, matchers.join(common, ["query_id", "token"], "left").fillna(False, ["common"]))
+            fields = pool.select("query_id", "doc_id").join(ranking.lexical_fields(self.docs), "doc_id")
+            lexical = ranking.lexical_scores(fields, matchers.join(common, ["query_id", "token"], "left").fillna(False, ["common"]))
             full = full.join(lexical, ["query_id", "doc_id"], "left").fillna(0, ["lexical"])
             full = full.withColumn("lexical_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "rank")) - 1)
             chunks = full.withColumn("score", ranking.fused(F.col("rank"), F.col("lexical_rank")))

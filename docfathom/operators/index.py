@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from docfathom.functions import analysis
 from docfathom.functions import wordlists as W
 from docfathom.functions.tokenizer import weighted_terms
-from docfathom.session import ensure_checkpoint_dir
+from docfathom.session import ensure_checkpoint_dir, spread
 
 
 def latest_documents(docs: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def postings(docs: DataFrame, lengths: bool = False) -> DataFrame:
     rows = docs.select("doc_id", "manual_id", "title", analysis.url_path(F.col("url")).alias("path"), body.alias("body"), F.substring(F.coalesce("answer", F.lit("")), 1, W.BODY_CAP).alias("answer"))
     kind = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "manual_id")}
     schema = f"doc_id {kind['doc_id']}, manual_id {kind['manual_id']}, term string, tf_title double, tf_url double, tf_body double"
-    return rows.mapInArrow(partial(_post, lengths=lengths), schema + (", len_title double, len_url double, len_body double, first boolean" if lengths else ""))
+    return spread(rows).mapInArrow(partial(_post, lengths=lengths), schema + (", len_title double, len_url double, len_body double, first boolean" if lengths else ""))
 
 
 def document_lengths(post: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def analysed(rows: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, term, weight) of one text column, a line for each distinct term of a row."""
     kind = rows.schema[id_column].dataType.simpleString()
-    return rows.select(rows[id_column].alias("id"), rows[text].alias("text")).mapInArrow(_weighted, f"id {kind}, term string, weight double")
+    return spread(rows.select(rows[id_column].alias("id"), rows[text].alias("text"))).mapInArrow(_weighted, f"id {kind}, term string, weight double")
 
 
 @dataclass(frozen=True)

@@ -149,15 +149,19 @@ def matcher_pattern(token: Column) -> Column:
     return F.when(token.rlike("^[\\x00-\\x7f]+$"), F.when(F.length(token) <= 3, short).otherwise(long)).otherwise(quoted)
 
 
-def lexical_scores(pool: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, doc_id, lexical) of candidates against the tokens of their query.
-
-    pool: (query_id, doc_id, title, snippet, text, answer, breadcrumbs, kind); tokens: (query_id, token, common).
-    """
+def lexical_fields(docs: DataFrame) -> DataFrame:
+    """(doc_id, title, extra, answer, kind): what the title score looks at, lower-cased and cut at the scanned length."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     crumbs = F.array_join(F.filter(F.coalesce("breadcrumbs", F.array().cast("array<string>")), lambda x: F.length(x) > 0), " ")
     extra = F.substring(F.lower(F.concat_ws(" ", F.nullif("snippet", F.lit("")), F.nullif("text", F.lit("")), F.nullif(crumbs, F.lit("")))), 1, W.SCAN_CAP)
-    docs = pool.select("query_id", "doc_id", low(F.col("title")).alias("title"), extra.alias("extra"), F.substring(low(F.col("answer")), 1, W.SCAN_CAP).alias("answer"), "kind")
+    return docs.select("doc_id", low(F.col("title")).alias("title"), extra.alias("extra"), F.substring(low(F.col("answer")), 1, W.SCAN_CAP).alias("answer"), "kind")
+
+
+def lexical_scores(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(query_id, doc_id, lexical) of candidates against the tokens of their query.
+
+    docs: (query_id, doc_id, title, extra, answer, kind), see ``lexical_fields``; tokens: (query_id, token, common).
+    """
     rows = docs.join(tokens.withColumn("pattern", matcher_pattern(F.col("token"))), "query_id")
     # A pattern that differs by row is compiled for each; most rows already fail the plain test.
     in_title, in_extra, in_answer = (F.contains(x, F.col("token")) & F.regexp_like(x, F.col("pattern")) for x in ("title", "extra", "answer"))

@@ -12,7 +12,7 @@ from docfathom.functions import analysis, boards, urls
 from docfathom.functions import text as T
 from docfathom.functions import wordlists as W
 from docfathom.operators import curation, evalkit, index, ranking
-from docfathom.session import table, written
+from docfathom.session import spread, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -237,7 +237,7 @@ lexical AS (SELECT query_id, doc_id, CAST(CASE WHEN n >= 4 AND m = 1 AND th = 0
 
 def _lexical(s: Searched) -> tuple[DataFrame, DataFrame]:
     pool = s.pool()
-    cand = pool.select("query_id", "doc_id").join(s.docs, "doc_id")
+    cand = pool.select("query_id", "doc_id").join(spread(ranking.lexical_fields(s.docs)), "doc_id")
     return pool, ranking.lexical_scores(cand, s.terms.select("query_id", F.col("term").alias("token"), F.lit(False).alias("common")))
 
 

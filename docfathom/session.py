@@ -71,6 +71,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over the cores if it is read from fewer files than there are cores, else as it is.
+
+    One small file is one task, however costly the work on its rows. A table of many files is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 _written: list[str] = []
 
 
