@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from docfathom.session import spread
+
 from .lookalikes import LATIN_LIKE
 
 #: Window, and length of a gram by unit (words, or characters in Chinese) and by the least size of an item. Half of an item
@@ -435,7 +437,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, block_char
     total = items.agg(F.sum(F.length("passage"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "passage", F.lower(F.col("lang")).startswith("zh").alias("zh")).where("passage is not null")
-    texts = documents.select("doc_id", "text")
+    texts = spread(documents.select("doc_id", "text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     out = None
     for b in range(blocks):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfathom.session import written
+from docfathom.session import spread, written
 
 #: Letters of other scripts drawn like a Latin letter.
 LATIN_LIKE = {
@@ -192,7 +192,7 @@ def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def sign_frequencies(df: DataFrame, *columns: str) -> DataFrame:
     """(sign, n): how often each code point, and each string that a single code point may stand for, occurs in the columns."""
-    counted = df.select(*(df[c] for c in columns)).mapInArrow(_count_characters, "sign string, n long")
+    counted = spread(df.select(*(df[c] for c in columns))).mapInArrow(_count_characters, "sign string, n long")
     return counted.groupBy("sign").agg(F.sum("n").alias("n")).where("n > 0")
 
 
@@ -255,7 +255,7 @@ def look_alike_strings(df: DataFrame, *columns: str, rules: dict[str, str] | Non
     """
     rules = learn_rules(df, *columns) if rules is None else rules
     texts = df.select(*(x for c in columns for x in (df[c].alias(f"{c}_text"), _string(df[c]).alias(f"{c}_own"))))
-    strings = texts.mapInArrow(partial(_variants, rules=rules, fields=list(columns)), "field_name string, form binary, own binary, n long")
+    strings = spread(texts).mapInArrow(partial(_variants, rules=rules, fields=list(columns)), "field_name string, form binary, own binary, n long")
     strings = strings.groupBy("field_name", "form", "own").agg(F.sum("n").alias("n"))
     # Sums of a class, combined in each task, meet its strings again in a join: a class of very many strings is no group of one task.
     groups = strings.groupBy("field_name", "form").agg(F.count("*").alias("strings"), F.sum("n").alias("n_rows")).where("strings > 1").drop("strings")

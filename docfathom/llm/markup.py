@@ -15,6 +15,8 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docfathom.session import spread
+
 from .residue import SPOT
 
 # --- Fixed values ---------------------------------------------------------------------------------------------------
@@ -337,4 +339,4 @@ def without_markup(df: DataFrame, id_column: str, *columns: str, block: int = 3)
     """
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(df[id_column], *(df[c] for c in columns))
-    return rows.mapInArrow(partial(_clean, fields=list(columns), block=block), f"id {kind}, field_name string, clean string, markups array<string>").withColumnRenamed("id", id_column)
+    return spread(rows).mapInArrow(partial(_clean, fields=list(columns), block=block), f"id {kind}, field_name string, clean string, markups array<string>").withColumnRenamed("id", id_column)

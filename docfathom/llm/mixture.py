@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docfathom.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that parts texts before byte pairs are merged; a public one that goes with the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,7 +49,7 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens) of every document; null and empty texts have none."""
     kinds = documents.schema
     schema = f"doc_id {kinds['doc_id'].dataType.simpleString()}, source string, tokens long"
-    return documents.select("doc_id", "source", "text").mapInArrow(partial(_count_tokens, path=tokenizer), schema)
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(partial(_count_tokens, path=tokenizer), schema)
 
 
 def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_TOKENS) -> np.ndarray:

@@ -10,6 +10,8 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docfathom.session import spread
+
 # --- What does not count: code and formulas ------------------------------------------------------------------------
 
 CODE = re.compile(
@@ -321,7 +323,7 @@ def residue(df: DataFrame, id_column: str, *columns: str) -> DataFrame:
     """
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(df[id_column], *(df[c] for c in columns))
-    return rows.mapInArrow(partial(_find, fields=list(columns)), f"id {kind}, field_name string, reasons array<string>").withColumnRenamed("id", id_column)
+    return spread(rows).mapInArrow(partial(_find, fields=list(columns)), f"id {kind}, field_name string, reasons array<string>").withColumnRenamed("id", id_column)
 
 
 def _drop(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterator[pa.RecordBatch]:

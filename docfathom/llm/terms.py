@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfathom.session import written
+from docfathom.session import spread, written
 
 #: The characters of a term and its length in characters.
 TERM_RUN = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]+"
@@ -75,7 +75,7 @@ def term_counts(df: DataFrame, *columns: str, held: int = 200_000) -> DataFrame:
     """
     if not columns:
         raise ValueError("no column to take terms from")
-    parts = df.select(*(df[c] for c in columns)).mapInArrow(partial(_partial_counts, held=held), "term string, occurrences long, n_rows long")
+    parts = spread(df.select(*(df[c] for c in columns))).mapInArrow(partial(_partial_counts, held=held), "term string, occurrences long, n_rows long")
     return parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("n_rows").alias("n_rows"))
 
 
@@ -139,7 +139,7 @@ def distinctive_terms(df: DataFrame, id_column: str, *columns: str, exponent: fl
         raise ValueError("no column to take terms from")
     texts = df.select(df[id_column].alias("id"), *(df[c].alias(f"text_{i}") for i, c in enumerate(columns)))
     id_type = df.schema[id_column].dataType.simpleString()
-    joint = written(texts.mapInArrow(_joint, f"id {id_type}, term string, n int, row_terms int, first boolean"))
+    joint = written(spread(texts).mapInArrow(_joint, f"id {id_type}, term string, n int, row_terms int, first boolean"))
     sums = joint.where("first").agg(F.sum(F.pow("row_terms", F.lit(exponent))), F.count("*")).first()
     smoothed, rows = (sums[0] or 0.0), (sums[1] or 0)
     marginals = joint.groupBy("term").agg(F.sum("n").alias("term_n"), F.count("*").alias("term_rows"))
