@@ -89,8 +89,14 @@ class Engine:
         return out
 
     def plan(self, queries: Sequence[Mapping[str, Any]]) -> list[planner.Plan]:
+        return self._planned(queries)[0]
+
+    def _planned(self, queries: Sequence[Mapping[str, Any]]) -> tuple[list[planner.Plan], list[bool]]:
+        """The plans of a batch, and whether the corpus does not cover each query."""
         aliases = {a.lower(): r.manual_id for r in self.manual_rows for a in r.aliases or () if a}
-        plans = [planner.analyse(str(q["query"])[:LONGEST_QUERY], self.synonyms, aliases, self.without) for q in queries]
+        if long := [q["query_id"] for q in queries if len(str(q["query"])) > LONGEST_QUERY]:
+            raise ValueError(f"queries of over {LONGEST_QUERY} characters: {long[:5]}")
+        plans = [planner.analyse(str(q["query"]), self.synonyms, aliases, self.without) for q in queries]
         df: dict[str, int] = {}
         outside: dict[str, int] = {}
 
@@ -109,8 +115,7 @@ class Engine:
         for p, q in zip(plans, abstaining):
             planner.adapt(p, df, self.n_docs, longer, self.synonyms, self.without, aliases)
             planner.adapt(q, outside, self.n_docs, longer, self.synonyms, self.without, aliases)
-        self._weak = [planner.abstains(q, outside, self.n_docs) for q in abstaining]
-        return plans
+        return plans, [planner.abstains(q, outside, self.n_docs) for q in abstaining]
 
     def search(self, queries: Sequence[Mapping[str, Any]]) -> DataFrame:
         """Ranked pages of a batch of queries, each a mapping with query_id, query and, if wanted, manual, board and limit.
@@ -121,20 +126,20 @@ class Engine:
         queries = [q for q in queries if q.get("query") and str(q["query"]).strip()]
         if not queries:
             return self.spark.createDataFrame([], "query_id long, place int, page string, title string, manual_id string, score double, n_chunks long, snippet string, board string, confidence double, coverage double, quality string")
-        plans = self.plan(queries)
+        plans, uncovered = self._planned(queries)
         ids = [q["query_id"] for q in queries]
         frame = self.spark.createDataFrame
         allowed = []
         for q in queries:
             named = self.resolve_manual(q.get("manual"))
             allowed += [(q["query_id"], r.manual_id) for r in self.manual_rows if (r.manual_id == named if named else r.searchable) and not (q.get("board") and r.no_board)]
-        allowed_df = F.broadcast(frame(allowed or [(ids[0], None)], "query_id long, manual_id string"))
+        allowed_df = frame(allowed or [(ids[0], None)], "query_id long, manual_id string")
         terms = frame([(i, t, float(w)) for i, p in zip(ids, plans) for t, w in p.terms.items()] or [(ids[0], "", 0.0)], "query_id long, term string, qtf double")
         concepts = frame([(i, k, c.min_hits, t, planner.looks_like_content(t)) for i, p in zip(ids, plans) for k, c in enumerate(p.concepts) for t in set(c.terms)] or [(ids[0], 0, 1, "", False)], "query_id long, concept_id int, min_hits int, term string, content boolean")
-        weak = dict(zip(ids, self._weak))
+        weak = dict(zip(ids, uncovered))
         options = frame([(q["query_id"], q["query"], q.get("board"), int(min(MOST_LIMIT, max(1, q.get("limit") or DEFAULT_LIMIT))), p.needles, weak[q["query_id"]], len(p.concepts)) for q, p in zip(queries, plans)], "query_id long, query string, option string, most int, needles array<string>, weak boolean, n_concepts int")
         named = mentioned_boards(F.col("query"), self.boards)
-        options = F.broadcast(options.withColumn("query_boards", F.when(F.size(named) > 0, named).when(F.col("option").isNotNull(), F.array(F.lower("option"))).otherwise(F.array().cast("array<string>"))).withColumn("option_only", F.size(named) == 0))
+        options = options.withColumn("query_boards", F.when(F.size(named) > 0, named).when(F.col("option").isNotNull(), F.array(F.lower("option"))).otherwise(F.array().cast("array<string>"))).withColumn("option_only", F.size(named) == 0)
         matchers = frame([(i, t) for i, p in zip(ids, plans) for t in p.matchers] or [(ids[0], "\x00")], "query_id long, token string")
 
         stats = allowed_df.join(self.sums, "manual_id").groupBy("query_id").agg(F.sum("n_docs").alias("n"), *(F.sum(f"sum_{x}").alias(f"all_{x}") for x in ("title", "url", "body")))

@@ -57,6 +57,14 @@ def hit_board(x: Column, rules: Sequence[BoardRule] = TEST_BOARDS) -> Column:
     return F.when(F.size(boards) == 1, F.element_at(boards, 1)).when(F.size(boards) > 1, "multiple")
 
 
+def url_of_board(url: Column, board: str) -> Column:
+    """Whether a url has the board as a part of its own, its signs as they are or taken as spaces."""
+    low = F.lower(url)
+    both = F.concat(low, F.lit("\n"), F.regexp_replace(low, "[_./#+-]+", " "))
+    ids = re.escape(board)
+    return both.rlike(f"(?<![a-z0-9_]){ids}(?![a-z0-9_])|/{ids}[_/-]|/{ids}$")
+
+
 def board_scale(doc_boards: Column, query_boards: Column, option_only: Column) -> Column:
     """A document of other boards than the query's counts a little less."""
     other = (F.size(doc_boards) > 0) & (F.size(query_boards) > 0) & ~F.arrays_overlap(doc_boards, query_boards)

@@ -34,6 +34,11 @@ def allowed(url: Column, hosts: Sequence[str]) -> Column:
     return F.coalesce(url.rlike("^(?i)https?://") & host(url).isin(*hosts), F.lit(False))
 
 
+def included(url: Column, pattern: str | None) -> Column:
+    """Whether a url belongs to a manual that shares its index with others; all do where it has no pattern."""
+    return F.lit(True) if pattern is None else F.coalesce(url.rlike(pattern), F.lit(False))
+
+
 def resolved(ref: Column, origin: str) -> Column:
     """A relative reference on the origin; absolute ones stay."""
     return F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), ref).otherwise(F.concat(F.lit(origin.rstrip("/") + "/"), F.regexp_replace(ref, "^/+", "")))

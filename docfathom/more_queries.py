@@ -76,11 +76,6 @@ def without_dead_pages(spark, d):
     return curation.without_pages(table(spark, d, "indexed_docs"), dead).select("row_id")
 
 
-@query()
-def mirror_pages(spark, d):
-    return curation.mirror_pages(docs(spark, d))
-
-
 @query(f"WITH {DOCS} SELECT doc_id FROM docs x WHERE NOT (contains(url, '/software/') AND EXISTS (SELECT 1 FROM docs y WHERE NOT contains(y.url, '/software/') AND y.url = replace(x.url, '/software/', '/')))")
 def language_copies(spark, d):
     return curation.without_language_copies(docs(spark, d), "/software/").select("doc_id")

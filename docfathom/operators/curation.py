@@ -10,8 +10,9 @@ from docfathom.functions import urls as U
 
 
 def probe_verdicts(probes: DataFrame) -> DataFrame:
-    """(url, verdict): dead if the last two probes found nothing, alive if one succeeded, else unchecked.
+    """(url, verdict): alive if any probe succeeded, dead if none did and at least two found nothing (404, 410), else unchecked.
 
+    The probes are those of one check: give the rows of the check that is to decide, not those of years.
     Aggregates of fixed size per url, so that a url probed very often is no hot key.
     """
     gone, fine = F.col("status").isin(404, 410), F.col("status").between(200, 399)

@@ -30,13 +30,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from docfathom import more_queries  # noqa: F401
+    from docfathom import more_queries, record_queries  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from docfathom import more_queries  # noqa: F401
+    from docfathom import more_queries, record_queries  # noqa: F401
 
     return dict(_SQL)
 

@@ -14,6 +14,8 @@ from docfathom.functions.text import excerpt, title_or_fallback
 
 SHARDS = "array<struct<documents:array<struct<i:int,t:string,u:string,b:array<string>,h:string,s:string,p:int>>>>"
 PAGES = "array<struct<title:string,content:string,routePath:string,lang:string,toc:array<struct<text:string,id:string>>>>"
+#: Places kept free for the contents of a page.
+PER_PAGE = 1_000_000_000
 ROW = ("manual_id", "doc_ord", "title", "url", "snippet", "text", "answer", "breadcrumbs", "kind")
 
 
@@ -34,7 +36,7 @@ def read_shards(raw: DataFrame, origin: str, column: str = "body") -> DataFrame:
     """
     shards = raw.select("manual_id", F.posexplode(F.from_json(column, SHARDS)).alias("shard", "x"))
     rows = shards.select("manual_id", "shard", F.posexplode("x.documents").alias("pos", "r")).select("manual_id", "shard", "pos", "r.*").where("length(u) > 0")
-    rows = rows.withColumn("ord", F.col("shard") * 1_000_000_000 + F.col("pos"))
+    rows = rows.withColumn("ord", F.col("shard").cast("long") * 1_000_000_000 + F.col("pos"))
     hashed, page = F.coalesce("h", F.lit("")), F.regexp_replace("u", "#.*$", "")
     rows = rows.withColumns({"url": absolute(origin, F.concat(page, F.when(F.length(hashed) > 0, F.concat(F.lit("#"), F.regexp_replace(hashed, "^#", ""))).otherwise(""))), "page": absolute(origin, page), "b": F.coalesce("b", F.array().cast("array<string>"))})
     kind = F.when((F.col("shard") == 0) & (F.length(hashed) == 0), "page").when(F.length(hashed) > 0, "heading").otherwise("snippet")
@@ -65,9 +67,9 @@ def read_page_index(raw: DataFrame, origin: str, column: str = "body") -> DataFr
     rows = raw.select("manual_id", F.posexplode(F.from_json(column, PAGES)).alias("pos", "x")).select("manual_id", "pos", "x.*").where("length(routePath) > 0")
     url = absolute(origin, F.col("routePath"))
     none, crumbs = F.lit(None).cast("string"), F.array().cast("array<string>")
-    pages = rows.select("manual_id", (F.col("pos") * 10_000).cast("long").alias("doc_ord"), "title", url.alias("url"), excerpt(F.col("content")).alias("snippet"), F.col("content").alias("text"), none.alias("answer"), crumbs.alias("breadcrumbs"), F.lit("page").alias("kind"))
+    pages = rows.select("manual_id", (F.col("pos").cast("long") * PER_PAGE).alias("doc_ord"), "title", url.alias("url"), excerpt(F.col("content")).alias("snippet"), F.col("content").alias("text"), none.alias("answer"), crumbs.alias("breadcrumbs"), F.lit("page").alias("kind"))
     toc = rows.select("manual_id", "pos", "title", url.alias("url"), F.posexplode("toc").alias("n", "h"))
-    heads = toc.select("manual_id", (F.col("pos") * 10_000 + F.col("n") + 1).cast("long").alias("doc_ord"), F.col("h.text").alias("title"), F.concat("url", F.lit("#"), "h.id").alias("url"), F.col("title").alias("snippet"), none.alias("text"), none.alias("answer"), F.array("title").alias("breadcrumbs"), F.lit("heading").alias("kind"))
+    heads = toc.select("manual_id", (F.col("pos").cast("long") * PER_PAGE + F.col("n") + 1).alias("doc_ord"), F.col("h.text").alias("title"), F.concat("url", F.lit("#"), "h.id").alias("url"), F.col("title").alias("snippet"), none.alias("text"), none.alias("answer"), F.array("title").alias("breadcrumbs"), F.lit("heading").alias("kind"))
     return pages.unionByName(heads)
 
 
