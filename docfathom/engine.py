@@ -16,7 +16,7 @@ from docfathom.functions import text as T
 from docfathom.functions import urls
 from docfathom.functions import wordlists as W
 from docfathom.functions.boards import TEST_BOARDS, BoardRule, board_scale, mentioned_boards
-from docfathom.operators import index, ranking, sections
+from docfathom.operators import hits, index, ranking, results, sections
 from docfathom.plans import planner
 from docfathom.session import ensure_checkpoint_dir, written
 
@@ -189,12 +189,50 @@ class Engine:
         out = pages.join(best, ["query_id", "doc_id"]).withColumn("place", F.row_number().over(ranking.by_rank("score", "page"))).where("place <= most")
         return out.select("query_id", "place", "page", "title", "manual_id", "score", "n_chunks", "snippet", "board", "confidence", F.round("coverage", 6).alias("coverage"), F.when(F.col("weak"), "weak").otherwise("good").alias("quality"))
 
+    def answers(self, queries: Sequence[Mapping[str, Any]], forum: DataFrame | None = None, rules: Sequence[results.PageRule] = (), board_pattern: str | None = None) -> DataFrame:
+        """What a user is shown for a batch of queries: (query_id, place, page, source, title, snippet, board, quality, warning).
+
+        From ``search``, in this order: pages that a rule pins to the query come first, then those of the query's one
+        board and of none before other boards; forum hits (query_id, page, rank from 0) take up to a quarter of the places,
+        where the query asks for them (source 'all' or 'forum') or names no manual; what is missing to the limit is filled up
+        with further pages. ``warning`` names a board that is missing, for queries that fit ``board_pattern``, or in conflict.
+        """
+        frame = self.spark.createDataFrame
+        asked = [{**q, "limit": MOST_LIMIT} for q in queries]
+        found = self.search(asked)
+        found = written(found)
+        kinds = "query_id long, query string, manual string, option string, source string, most int"
+        rows = frame([(q["query_id"], str(q.get("query") or ""), self.resolve_manual(q.get("manual")), q.get("board"), q.get("source"), int(min(MOST_LIMIT, max(1, q.get("limit") or DEFAULT_LIMIT)))) for q in queries], kinds)
+        named = mentioned_boards(F.col("query"), self.boards)
+        rows = rows.withColumn("named", named).withColumn("board", F.when(F.size("named") == 1, F.get("named", F.lit(0))).when(F.size("named") == 0, F.lower("option")))
+        rows = rows.withColumn("source", hits.resolved_source(F.coalesce("source", F.when(F.col("manual").isNull(), "all")), F.col("manual"), ("forum",)))
+        conflict = (F.size("named") > 0) & F.col("option").isNotNull() & ~F.array_contains("named", F.lower("option"))
+        missing = hits.board_missing(F.col("query"), F.col("named"), F.col("manual"), F.col("option"), board_pattern) if board_pattern else F.lit(False)
+        rows = rows.withColumn("pin", results.ruled_page(F.col("query"), F.col("board"), F.col("manual"), rules)).withColumn("warning", F.when(conflict, "board conflict").when(missing, "board missing"))
+        pages = self.docs.select(urls.page_url(F.col("url")).alias("page")).distinct()
+        first = results.pinned(found, rows.select("query_id", F.col("pin").alias("page")), pages)
+        first = first.join(found.select("query_id", "page", F.col("board").alias("of_board")), ["query_id", "page"], "left").join(rows.select("query_id", "board", "most", "source"), "query_id").where("source <> 'forum'")
+        fits = (F.col("score") >= results.PIN_SCORE) | F.col("board").isNull() | F.col("of_board").isNull() | (F.col("of_board") == F.col("board"))
+        ordered = results.board_first(first, fits)
+        docs = ordered.select("query_id", F.col("page").alias("url"), (F.col("place") - 1).alias("rank"))
+        own = frame([], "query_id long, url string, rank int") if forum is None else forum.join(rows.where("source <> 'docs'").select("query_id"), "query_id", "left_semi").select("query_id", F.col("page").alias("url"), "rank")
+        merged = ranking.merged_with_quota(docs, own, MOST_LIMIT).join(rows.select("query_id", "most", "warning"), "query_id")
+        # Within a query's limit, forum hits keep the quarter that its limit gives them.
+        nth = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("place"))
+        n_forum = F.count_if(F.col("source") == "forum").over(Window.partitionBy("query_id"))
+        n_docs = F.count_if(F.col("source") == "docs").over(Window.partitionBy("query_id"))
+        quota = F.least(n_forum, F.greatest(F.floor(F.col("most") / 4), F.lit(1), F.col("most") - n_docs))
+        kept = merged.withColumn("nth", nth).withColumn("quota", quota).where(F.when(F.col("source") == "forum", F.col("nth") <= F.col("quota")).otherwise(F.col("nth") <= F.col("most") - F.col("quota")))
+        placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).select("query_id", F.col("url").alias("page"), "source", "place", "warning")
+        shown = found.select("query_id", "page", "title", "snippet", "board", "quality")
+        return placed.join(shown, ["query_id", "page"], "left").select("query_id", "place", "page", "source", "title", "snippet", "board", F.coalesce("quality", F.lit("good")).alias("quality"), "warning")
+
     def search_alternates(self, query_id: int, query: str, others: Iterable[str], **options: Any) -> DataFrame:
         """Pages of one query and up to three other wordings of it, fused by rank."""
         kept, _ = planner.distinct_alternates(query, others)
         wordings = [query, *kept]
-        hits = self.search([{"query_id": k, "query": x, **options, "limit": MOST_LIMIT} for k, x in enumerate(wordings)])
-        lists = hits.select(F.lit(query_id).cast("long").alias("query_id"), F.col("query_id").alias("list_id"), "page", F.col("place").alias("rank"))
+        found = self.search([{"query_id": k, "query": x, **options, "limit": MOST_LIMIT} for k, x in enumerate(wordings)])
+        lists = found.select(F.lit(query_id).cast("long").alias("query_id"), F.col("query_id").alias("list_id"), "page", F.col("place").alias("rank"))
         fused = ranking.fuse_lists(lists).withColumn("place", F.row_number().over(ranking.by_rank("score", "page")))
         return fused.where(F.col("place") <= int(options.get("limit") or DEFAULT_LIMIT))
 

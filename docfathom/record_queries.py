@@ -9,7 +9,7 @@ from docfathom.functions import boards, urls
 from docfathom.functions import text as T
 from docfathom.more_queries import _PATH
 from docfathom.operators import catalog, curation, evalkit, hits, records, results
-from docfathom.queries import DOCS, PAGES, Searched, docs, page_hits, query
+from docfathom.queries import DOCS, PAGES, Searched, docs, page_hits, query, terms_sql
 from docfathom.session import table
 from docfathom.sources import cache, index_formats
 
@@ -271,3 +271,16 @@ def schema_verdicts(spark, d):
 def pack_families(spark, d):
     families = records.families_of(F.col("manual_id"), {"t5-guide": ("t5",)}, {"guide": ("s6", "s1"), "mirror": ("t2",)})
     return table(spark, d, "manuals").select("manual_id", families.alias("families"))
+
+
+# --- Functions in SQL texts -----------------------------------------------------------------------------------------
+
+
+@query("WITH src AS (SELECT row_id, 't' AS f, 1.0 AS s, coalesce(title, '') AS x FROM indexed_docs), " + terms_sql("src", "row_id") + """, own AS (SELECT row_id, list_sort(list(DISTINCT term)) AS terms FROM analysed GROUP BY ALL)
+SELECT row_id, split_part(url, '#', 1) AS page, array_to_string(coalesce(terms, []), ' ') AS terms, round(CASE WHEN x < 3.2 THEN x * (0.45 + 0.55 * x / 3.2) ELSE x END, 6) AS idf FROM (SELECT row_id, url, ln(1 + (1000 - 10 + 0.5) / (10 + 0.5)) AS x FROM indexed_docs) LEFT JOIN own USING (row_id)""")
+def sql_functions(spark, d):
+    """A query written in SQL, with the engine's functions registered on the session."""
+    from docfathom.functions.sql import register_functions
+
+    register_functions(spark)
+    return spark.sql("SELECT row_id, docfathom_page(url) AS page, array_join(docfathom_terms(title), ' ') AS terms, round(docfathom_damped(docfathom_idf(1000, 10)), 6) AS idf FROM {rows}", rows=table(spark, d, "indexed_docs"))

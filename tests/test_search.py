@@ -73,6 +73,25 @@ def test_pages_toc_and_status(engine):
     assert "More firmware" in engine.page("https://d.e/e", section="firmware notes")["text"]
 
 
+def test_answers_pin_prefer_boards_and_mix_the_forum(engine, spark):
+    from docfathom.operators.results import PageRule
+
+    forum = spark.createDataFrame([(1, "https://f.e/t/1", 0), (1, "https://f.e/t/2", 1), (2, "https://f.e/t/1", 0), (3, "https://f.e/t/1", 0)], "query_id long, page string, rank int")
+    asked = [{"query_id": 1, "query": "wiring", "board": "s1", "limit": 4}, {"query_id": 2, "query": "firmware", "manual": "m2"}, {"query_id": 3, "query": "firmware install", "source": "forum"}, {"query_id": 4, "query": "t5 wiring", "board": "s1", "source": "docs"}]
+    got = {}
+    for r in engine.answers(asked, forum, [PageRule("^firmware$", "https://d.e/c")], "install").orderBy("place").collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert [(r.page, r.source) for r in got[1]] == [("https://d.e/s1", "docs"), ("https://d.e/t5", "docs"), ("https://f.e/t/1", "forum"), ("https://f.e/t/2", "forum")]
+    assert [r.page for r in got[2]] == ["https://d.e/c", "https://d.e/e"] and {r.source for r in got[2]} == {"docs"}
+    assert [r.page for r in got[3]] == ["https://f.e/t/1"] and got[3][0].warning == "board missing"
+    assert {r.warning for r in got[4]} == {"board conflict"} and [r.place for r in got[1]] == [1, 2, 3, 4]
+
+
+def test_long_queries_are_refused(engine):
+    with pytest.raises(ValueError):
+        engine.search([{"query_id": 1, "query": "x" * 501}])
+
+
 def test_planner():
     p = P.analyse('how to flash "no such device" on wifi 40 pin')
     assert p.terms["flash"] == 1 and p.terms["烧录"] == P.SYNONYM and p.terms["40pin"] == 1 and p.needles == ["no such device"] and "how" not in p.terms
