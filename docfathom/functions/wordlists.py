@@ -49,5 +49,8 @@ SYNONYMS = {
     "烧入": ["烧录", "flashing"], "烧写": ["烧录", "flashing"], "登陆": ["登录"],
 }
 
+# Words whose synonyms serve the index only; the title score does not use them.
+RETRIEVAL_ONLY = "ptq qat 量化 烧录 软件源 apt 管脚 引脚 gpio 摄像头 camera 无图 黑屏 无线 推理 inference".split()
+
 #: Stop words of CJK runs, longest first; a stop character ends a segment before any word is tried.
 CJK_BREAK = "[" + CJK_STOP_CHARS + "]|" + "|".join(sorted(map(re.escape, CJK_STOP_WORDS), key=len, reverse=True))

@@ -56,7 +56,7 @@ def bigrams(x: str) -> list[str]:
 
 
 def lexical_tokens(query: str, synonyms: Mapping[str, list[str]] = W.SYNONYMS) -> list[str]:
-    """Tokens of the title scorer: words, numbers, number-and-word forms and CJK bigrams, without stop words, with synonyms."""
+    """Tokens of the title scorer: words, numbers, number-and-word forms and CJK bigrams, without stop words, with the synonyms that titles use."""
     low = query.lower()
     found = re.findall(r"[a-z][a-z0-9_.-]*|\d+[a-z][a-z0-9_.-]*|\d+", low)
     found += ["".join(m.groups()) for m in _GLUED.finditer(low)]
@@ -64,7 +64,7 @@ def lexical_tokens(query: str, synonyms: Mapping[str, list[str]] = W.SYNONYMS) -
     for run in _CJK.findall(low):
         found += [g for x in stop.split(run) for g in (bigrams(x) if len(x) > 1 else [])]
     kept = [x for x in found if x not in W.LEXICAL_STOP]
-    kept += [y for x in kept for y in synonyms.get(x, ())]
+    kept += [y for x in kept if x not in W.RETRIEVAL_ONLY for y in synonyms.get(x, ())]
     return list(dict.fromkeys(kept)) or list(dict.fromkeys(low.split()))
 
 
@@ -161,9 +161,10 @@ def adapt(plan: Plan, df: Mapping[str, int], n_docs: int, prefixes: Mapping[str,
                 if stem:
                     plan.add(stem, STEM)
                     concept.terms.append(stem)
-            if "typo" not in without and (better := _corrected(key, df, synonyms)):
-                plan.add(*better)
-                concept.terms.append(better[0])
+            if "typo" not in without:
+                for better, weight in _corrections(key, df, synonyms):
+                    plan.add(better, weight)
+                    concept.terms.append(better)
             if "typo" not in without:
                 for manual in named_by_edit(key, aliases or {}):
                     plan.add(manual, ALIAS_EDIT)
@@ -218,29 +219,35 @@ def _resegmented(x: str, df: Mapping[str, int], n_docs: int) -> list[str]:
     return out
 
 
-def _corrected(x: str, df: Mapping[str, int], synonyms: Mapping[str, list[str]]) -> tuple[str, float] | None:
-    """A word of the corpus for one it lacks: without its last letters, or one edit away if that is clearly the best.
+def _corrections(x: str, df: Mapping[str, int], synonyms: Mapping[str, list[str]]) -> list[tuple[str, float]]:
+    """Words of the corpus for one it lacks: without its last letters, and one edit away if that is clearly the most frequent.
 
-    Ordinary and generic words are left as they are. The first letter stays the same; letters are put in or left out
-    only towards a word that has synonyms, and so is a letter changed in a word of less than five.
+    Ordinary and generic words and fragments of names are no correction, nor is a word that holds the other. The first
+    letter stays the same unless the correction has synonyms; letters are put in or left out only if either has; and so is
+    a letter changed in a word of less than five.
     """
-    if not re.fullmatch(r"[a-z0-9]{4,}", x) or x in W.GENERIC_WORDS or x in W.LEXICAL_STOP:
-        return None
+    if not re.fullmatch(r"[a-z0-9]{4,}", x):
+        return []
+    out = []
+    if len(x) >= 5 and (cut := next((x[:-k] for k in (1, 2, 3) if len(x) - k >= 4 and df.get(x[:-k]) and x[:-k] not in W.FRAGMENT_SKIP), None)):
+        out.append((cut, TAIL))
     near = []
-    if len(x) <= 12:
-        for y in edits(x):
-            n = df.get(y, 0)
-            swap = len(y) == len(x) and sorted(y) == sorted(x)
-            known = y in synonyms
-            if n and (y[0] == x[0] or known) and (len(y) == len(x) or known) and (len(x) >= 5 or swap or known):
-                near.append((n, y))
+    for y in edits(x) if len(x) <= 12 else ():
+        if not df.get(y) or len(y) < 4 or y in x or x in y or y in NO_CORRECTION:
+            continue
+        swap = len(y) == len(x) and sorted(y) == sorted(x)
+        if (y[0] == x[0] or y in synonyms) and (len(y) == len(x) or y in synonyms or x in synonyms):
+            near.append((df[y], y, swap))
     near.sort(key=lambda p: (-p[0], p[1]))
     if near and (len(near) == 1 or near[0][0] >= 3 * near[1][0]):
-        return near[0][1], EDIT
-    if len(x) >= 5:
-        cut = next((x[:-k] for k in (1, 2, 3) if len(x) - k >= 4 and df.get(x[:-k])), None)
-        return (cut, TAIL) if cut else None
-    return None
+        _, best, swap = near[0]
+        if len(x) >= 5 or swap or best in synonyms:
+            out.append((best, EDIT))
+    return out
+
+
+#: Words that a typing error is not corrected to.
+NO_CORRECTION = frozenset([*W.FRAGMENT_SKIP, *W.EN_STOP, *W.GENERIC_WORDS, *W.LEXICAL_STOP])
 
 
 def abstains(plan: Plan, df: Mapping[str, int], n_docs: int) -> bool:

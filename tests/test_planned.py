@@ -39,3 +39,15 @@ def test_confidence_counts_distinctive_concepts(engine):
     # kernel is in nearly all documents and is no concept to be sure by: one of one distinctive concept is hit.
     hit = engine.search([{"query_id": 1, "query": "kernel zircon"}]).where("title = 'Panel'").first()
     assert hit.coverage == 0.5 and hit.confidence >= 0.75
+
+
+def test_corrections_keep_the_tail_and_the_edit():
+    df = {"firmware": 9, "frimwa": 2, "board": 50, "device": 7, "phone": 9, "guide": 9, "static": 5}
+    assert P._corrections("frimware", df, {}) == [("frimwa", P.TAIL), ("firmware", P.EDIT)]
+    assert P._corrections("devicee", df, {}) == [("device", P.TAIL)] and P._corrections("boardd", df, {}) == []  # a fragment of names
+    assert P._corrections("iphone", df, {}) == [] and P._corrections("giude", df, {}) == []
+    assert P._corrections("statc", df, {"static": ["x"]}) == [("static", P.EDIT)] and P._corrections("statc", df, {}) == []
+
+
+def test_titles_leave_out_synonyms_of_the_index():
+    assert "量化" not in P.lexical_tokens("ptq error") and "无线" in P.lexical_tokens("wifi")
