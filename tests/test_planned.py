@@ -42,11 +42,12 @@ def test_confidence_counts_distinctive_concepts(engine):
 
 
 def test_corrections_keep_the_tail_and_the_edit():
-    df = {"firmware": 9, "frimwa": 2, "board": 50, "device": 7, "phone": 9, "guide": 9, "static": 5}
+    df = {"firmware": 9, "frimwa": 2, "board": 50, "device": 7, "phone": 9, "guide": 9, "kernel": 5, "wifi": 3, "static": 9}
     assert P._corrections("frimware", df, {}) == [("frimwa", P.TAIL), ("firmware", P.EDIT)]
     assert P._corrections("devicee", df, {}) == [("device", P.TAIL)] and P._corrections("boardd", df, {}) == []  # a fragment of names
     assert P._corrections("iphone", df, {}) == [] and P._corrections("giude", df, {}) == []
-    assert P._corrections("statc", df, {"static": ["x"]}) == [("static", P.EDIT)] and P._corrections("statc", df, {}) == []
+    assert P._corrections("kernl", df, {"kernel": ["x"]}) == [("kernel", P.EDIT)] and P._corrections("kernl", df, {}) == []
+    assert P._corrections("wfii", df, {}) == [("wifi", P.EDIT)] and P._corrections("statc", df, {"static": ["x"]}) == []  # a generic word
 
 
 def test_titles_leave_out_synonyms_of_the_index():
